@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets
+from . import decontaminate, quality_rules, secrets, token_records, unigram
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_token_records": token_records.op3_token_records,
+    "op7_sentencepiece": unigram.op7_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_secret_scans": secrets.ORACLE_SQL,
+    "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
 }
