@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, secrets, token_records, unigram
+from . import cotraining, decontaminate, quality_rules, secrets, token_records, unigram, url_filters
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_records": token_records.op3_token_records,
+    "op4_quality_classifier": cotraining.op4_quality_classifier,
+    "op6_url_filters": url_filters.op6_url_filters,
     "op7_sentencepiece": unigram.op7_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
@@ -15,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_secret_scans": secrets.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_url_filters": url_filters.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
 }
