@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontaminate, quality_rules, secrets, token_records, unigram, url_filters
+from . import cotraining, decontaminate, near_duplicates, quality_rules, secrets, token_records, unigram, url_filters
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_sentencepiece": unigram.op7_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_near_duplicates": near_duplicates.op9_near_duplicates,
 }
 
 ORACLE_SQL = {
@@ -19,4 +20,5 @@ ORACLE_SQL = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op6_url_filters": url_filters.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_near_duplicates": near_duplicates.ORACLE_SQL,
 }
