@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontaminate, near_duplicates, quality_rules, secrets, token_records, unigram, url_filters
+from . import cotraining, decontaminate, near_duplicates, quality_rules, secrets, suffix_dedup, token_records, unigram, url_filters
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_records": token_records.op3_token_records,
     "op4_quality_classifier": cotraining.op4_quality_classifier,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_sentencepiece": unigram.op7_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
