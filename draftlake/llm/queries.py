@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontaminate, near_duplicates, quality_rules, secrets, suffix_dedup, token_records, unigram, url_filters
+from . import cotraining, decontaminate, language_model, near_duplicates, quality_rules, secrets, suffix_dedup, token_records, unigram, url_filters
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op10_language_model": language_model.op10_language_model,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_records": token_records.op3_token_records,
     "op4_quality_classifier": cotraining.op4_quality_classifier,
