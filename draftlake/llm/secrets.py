@@ -248,12 +248,17 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "<secret>") -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans are replaced as one."""
     scanned = scan(docs, docs.columns, rules)
 
-    def rebuilt(s: Column) -> Column:
-        reach = F.transform(s, lambda x, i: F.coalesce(F.array_max(F.transform(F.slice(s, 1, i), lambda y: y["end"])), F.lit(0)))
-        pieces = F.zip_with(s, reach, lambda x, r: F.when(x["start"] >= r, F.concat(F.substring(F.col("__t"), r + 1, x["start"] - r), F.lit(mark))).otherwise(F.lit("")))
-        return F.concat(F.array_join(pieces, ""), F.substring(F.col("__t"), F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.length("__t")))
+    def widened(acc: Column, x: Column) -> Column:
+        gap = F.array(F.struct(acc["reach"].alias("a"), x["start"].alias("b")))
+        gaps = F.when(x["start"] >= acc["reach"], F.concat(acc["gaps"], gap)).otherwise(acc["gaps"])
+        return F.struct(F.greatest(acc["reach"], x["end"]).alias("reach"), gaps.alias("gaps"))
 
-    text = F.when(F.size("__s") > 0, let(F.col("__s"), rebuilt)).otherwise(F.col("text"))
+    def rebuilt(acc: Column) -> Column:
+        between = F.transform(acc["gaps"], lambda g: F.substring(F.col("__t"), g["a"] + 1, g["b"] - g["a"]))
+        return F.array_join(F.concat(between, F.array(F.substring(F.col("__t"), acc["reach"] + 1, F.length("__t")))), mark)
+
+    none = F.struct(F.lit(0).alias("reach"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps"))
+    text = F.when(F.size("__s") > 0, F.aggregate("__s", none, widened, rebuilt)).otherwise(F.col("text"))
     return scanned.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
