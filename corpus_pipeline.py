@@ -1,10 +1,53 @@
-"""The training-data pipeline: stages over ``documents``, each on all that the one before it kept."""
+"""The training-data pipeline over ``documents``: each stage works on all that the one before it kept.
+
+Rejected documents go, of each group of near-duplicates the one with the smallest id stays, passages of ``benchmark``
+and secrets are taken out of the texts, and what is left is encoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from draftlake.llm import cotraining, decontaminate, near_duplicates, secrets, unigram
+from draftlake.llm.common import table, written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return cotraining.keep(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.keep(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return unigram.encode_checked(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("sentencepiece", sentencepiece),
+]
+
+#: The classifier and the encoding can't be expressed in SQL; the tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
