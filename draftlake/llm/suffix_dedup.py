@@ -263,7 +263,9 @@ def repeated_windows(heads: np.ndarray, data: bytes) -> tuple[np.ndarray, np.nda
     doc, tag, place = heads["doc"][seg[at]], heads["tag"][seg[at]], heads["pos"][seg[at]].astype(np.int64) + offset[at]
     order = np.lexsort((place, tag, doc, group))
     group, doc, tag, place = group[order], doc[order], tag[order], place[order]
-    later = np.r_[False, group[1:] == group[:-1]][: len(group)]
+    first = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]][: len(group)], np.arange(len(group)), 0))
+    # Repeated rows bring one place several times; it is not later than itself.
+    later = (doc != doc[first]) | (tag != tag[first]) | (place != place[first])
     return doc[later], tag[later], place[later]
 
 
