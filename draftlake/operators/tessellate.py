@@ -37,20 +37,22 @@ def label_text() -> Column:
     return F.when(F.col("type_name") == "MTEXT", expand_percent(strip_mtext(F.col("text")))).when(F.col("type_name").isin(*TEXTS), expand_percent(F.col("text")))
 
 
-def expanded(entities: DataFrame) -> DataFrame:
-    """World-space primitives of entity rows (doc_id, owner, handle, seq, type_name, points, …, block, sx, sy).
-
-    ``owner`` is 0 in model space, else the block that holds the row. Labels have text, at (anchor), world height and
-    rotation.
-    """
+def parts(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaves with local strokes and labels, and inserts with their transforms, of entity rows (doc_id, owner, handle,
+    seq, type_name, points, …, block, sx, sy). ``owner`` is 0 in model space, else the block that holds the row."""
     p = F.element_at("points", 1)
     rows = entities.where("space <> 'paper'")
     ins = rows.where("type_name = 'INSERT' AND block IS NOT NULL").select("doc_id", "owner", "handle", "seq", "block", g.insert_affine(p["x"], p["y"], F.col("sx"), F.col("sy"), F.col("rotation")).alias("t"))
-    leaves = rows.where("type_name <> 'INSERT'").select("doc_id", "owner", "handle", "seq", "type_name", "layer", "height", "rotation", label_text().alias("text"), local_strokes().alias("strokes"), F.when(F.size("points") >= 1, p).alias("at"))
-    out = primitives(leaves, ins)
+    leaves = rows.where("type_name <> 'INSERT'").select("doc_id", "owner", "handle", "seq", "type_name", "layer", "height", "rotation", label_text().alias("text"), local_strokes().alias("strokes"), F.when(F.size("points") >= 1, p).alias("at"), F.size("points").alias("n_points"))
+    return leaves, ins
+
+
+def expanded(entities: DataFrame) -> DataFrame:
+    """World-space primitives of entity rows. Labels have text, at (anchor), world height and rotation."""
+    out = primitives(*parts(entities))
     c, s, t = F.cos("rotation"), F.sin("rotation"), F.col("t")
     ux, uy = t["a"] * c + t["b"] * s, t["c"] * c + t["d"] * s
-    return out.withColumns({"height": F.hypot(ux, uy) * F.col("height"), "rotation": F.atan2(uy, ux)}).drop("t")
+    return out.withColumns({"height": F.hypot(ux, uy) * F.col("height"), "rotation": F.atan2(uy, ux)}).drop("t", "root", "n_points")
 
 
 def sheet_texts(prims: DataFrame, layers: DataFrame, sheets: DataFrame) -> DataFrame:

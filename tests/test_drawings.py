@@ -262,3 +262,25 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.dxf").write_text(DXF)
     ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def framed_drawing(spark, dots=8, size=(42000, 29700), at=((0, 0), (60000, 0))):
+    w, h = size
+    objects = [
+        {"object": "BLOCK_HEADER", "handle": [0, 1, 100, 100], "name": "FRAME"},
+        {"entity": "LWPOLYLINE", "handle": [0, 1, 1, 1], "entmode": 0, "ownerhandle": [4, 1, 100, 100], "points": [[0, 0], [w, 0], [w, h], [0, h]]},
+        {"entity": "TEXT", "handle": [0, 1, 2, 2], "entmode": 0, "ownerhandle": [4, 1, 100, 100], "ins_pt": [w * 0.9, h * 0.05], "height": 100, "text_value": "AB-12"},
+    ]
+    for k, (x, y) in enumerate(at):
+        objects.append({"entity": "INSERT", "handle": [0, 1, 10 + k, 10 + k], "entmode": 2, "block_header": [5, 1, 100, 100], "ins_pt": [x, y, 0], "scale": [1, 1, 1]})
+        objects += [{"entity": "LINE", "handle": [0, 1, 1000 * (k + 1) + i, 1000 * (k + 1) + i], "entmode": 2, "start": [x + 100 + i, y + 100, 0], "end": [x + 200 + i, y + 9000, 0]} for i in range(dots // 2)]
+    return json_drawings.parse(spark.createDataFrame([("d", json.dumps({"HEADER": {}, "OBJECTS": objects}))], "doc_id string, value string"))
+
+
+@pytest.mark.parametrize("options, n, name", [({"size": (42000, 15000)}, 2, "AB-12"), ({"dots": 2}, 1, "整图")])
+def test_detects_frames(spark, options, n, name):
+    from draftlake.operators import frames
+
+    d = framed_drawing(spark, **options)
+    got = frames.detect(json_drawings.entities(d), json_drawings.layers(d)).collect()
+    assert (len(got), {r["name"] for r in got}) == (n, {name})
