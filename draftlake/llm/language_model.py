@@ -56,15 +56,14 @@ class WordHashes(dict):
 
 def token_hashes(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """All texts' hashes in a row, each text as start, words, end; and the sizes of the texts."""
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    out = np.empty(int(sizes.sum()) + 2 * len(words), np.uint64)
-    ends = np.cumsum(sizes + 2)
-    inner = np.ones(len(out), bool)
-    inner[ends - 1] = inner[ends - sizes - 2] = False
-    out[inner] = np.fromiter((hashes[x] for w in words for x in w), np.uint64, int(sizes.sum()))
-    out[ends - sizes - 2], out[ends - 1] = START, END
-    return out, sizes + 2
+    parts = []
+    for t in texts:
+        words = t.lower().split()
+        h = np.empty(len(words) + 2, np.uint64)
+        h[0], h[-1] = START, END
+        h[1:-1] = np.fromiter((hashes[x] for x in words), np.uint64, len(words))
+        parts.append(h)
+    return np.concatenate(parts), np.array([len(h) for h in parts], np.int64)
 
 
 def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
