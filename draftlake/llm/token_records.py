@@ -17,8 +17,11 @@ text and each row is a record; an empty table gives an empty result; extra colum
 from __future__ import annotations
 
 import os
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,7 +35,7 @@ from .common import new_path, partitions, table
 
 END_ID = 2
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 _LENGTH, _CRC, _HEAD, _HEAD_SIZE = "<Q", "<I", "<Bq", 9
 
 
@@ -77,46 +80,63 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Where a word ends in one full stop or comma: a token ends there, whatever the word.
+_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:\s|$))")
+
+
 class WordCachingEncoder:
-    """Ids of whole texts. No token of these tokenizers crosses white space, so texts are encoded word by word and each
-    word once; ``by_words=False`` hands whole texts to the library."""
+    """Ids of whole texts. No token crosses white space, letters lose their case and a stop after a letter is a token of
+    its own, so texts are encoded word by word and each word once; a text that may hold a special token, and every text
+    with ``by_words=False``, goes to the library whole."""
 
     def __init__(self, path: str, by_words: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.by_words = tokenizer(path), by_words
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         self.known: dict[bytes, bytes] = {}
 
+    def pack(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """For each text its ids, packed."""
-        if not self.by_words:
-            for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False):
-                yield np.array(e.ids, self.kind).tobytes()
-            return
-        known = self.known
+        encode, known = self.tokenizer.encode_batch_fast, self.known
         for t in texts:
-            words = t.split()
+            if not self.by_words or b"<|" in t:
+                yield self.pack(encode([t.decode()], add_special_tokens=False)[0].ids)
+                continue
+            words = _STOP.sub(b" ", t.lower()).split()
             if new := [w for w in set(words) if w not in known]:
                 if len(known) > CACHE_WORDS:
                     known.clear()
                     new = list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, self.kind).tobytes()
+                for w, e in zip(new, encode([w.decode() for w in new], add_special_tokens=False)):
+                    known[w] = self.pack(e.ids)
             yield b"".join(map(known.__getitem__, words))
 
 
+@cache
+def encoder(path: str) -> WordCachingEncoder:
+    """One per worker process, so that its words outlive a task."""
+    return WordCachingEncoder(path)
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None) -> list[dict]:
     """Writes the files; returns for each its path, index, documents, ids and the ids in files before it."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
 
     def run(batches):
-        encode, fs_path = WordCachingEncoder(tokenizer_path), filesystem(folder)
-        fs, path = fs_path
+        encode = encoder(tokenizer_path)
+        fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         at = TaskContext.get()
         name = f"{path}/part-{at.partitionId():06d}-{at.taskAttemptId()}"
-        end = np.array([end_id], encode.kind).tobytes()
+        end = encode.pack([end_id])
         docs_n = ids_n = 0
         with fs.open_output_stream(name + ".rec", buffer_size=1 << 20) as out, fs.open_output_stream(name + ".idx", buffer_size=1 << 16) as index:
             place = 0
@@ -127,8 +147,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: st
                     out.write(record)
                     place += len(record)
                     docs_n += 1
-                    ids_n += len(ids) // encode.kind.itemsize + 1
-        yield pa.RecordBatch.from_pydict({"part": [at.partitionId()], "path": [name], "docs": [docs_n], "ids": [ids_n], "width": [encode.kind.itemsize]}, schema=_FILE)
+                    ids_n += len(ids) // encode.width + 1
+        yield pa.RecordBatch.from_pydict({"part": [at.partitionId()], "path": [name], "docs": [docs_n], "ids": [ids_n], "width": [encode.width]}, schema=_FILE)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
