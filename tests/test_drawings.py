@@ -284,3 +284,10 @@ def test_detects_frames(spark, options, n, name):
     d = framed_drawing(spark, **options)
     got = frames.detect(json_drawings.entities(d), json_drawings.layers(d)).collect()
     assert (len(got), {r["name"] for r in got}) == (n, {name})
+
+
+def test_texts_local(drawing):
+    from draftlake.operators.texts import texts_local
+
+    got = {(r["text"], r["x"]) for r in texts_local(json_drawings.entities(drawing)).collect()}
+    assert got == {("测试图", 40000.0), ("多行\n文本", 1000.0), ("outside %%c5", 100000.0)}
