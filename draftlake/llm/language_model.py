@@ -37,9 +37,9 @@ from .token_records import filesystem
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text for each shard, and the least number of shards.
 SHARD_BYTES, MIN_SHARDS = 16 << 20, 96
-CACHE_WORDS = 600_000
-#: Texts scored at once.
-SCORE_BYTES = 12 << 20
+CACHE_WORDS = 300_000
+#: Texts counted, and texts scored, at once.
+COUNT_BYTES, SCORE_BYTES = 12 << 20, 12 << 20
 BITS = 48
 START, END = 1, 2  # no word hashes to these but by a chance of 2**-47
 
@@ -107,7 +107,7 @@ def _counted(docs: DataFrame, shards: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for x, y in chunks(texts, 4 * SCORE_BYTES):
+            for x, y in chunks(texts, COUNT_BYTES):
                 h, sizes = token_hashes(texts[x:y], hashes)
                 inner = np.ones(len(h), bool)
                 inner[np.cumsum(sizes) - 1] = False
