@@ -6,7 +6,8 @@ is calibrated on labelled documents left out of training, the calibrated views a
 scored. This is done for two targets, low quality and toxicity; a document is kept if it is neither.
 
 Training uses bounded samples, drawn by hash of the id: MAX_LABELLED labelled documents, a pool of MAX_POOL others, a
-vocabulary of MAX_WORDS words that stand in MIN_DOCS and in a share of MIN_SHARE of them or more. Scoring reads every whole text.
+vocabulary of the MAX_WORDS words that stand in MIN_DOCS of them or more and whose shares differ most between the
+classes of either target, over the labelled documents of training. Scoring reads every whole text.
 
 Defined results: a null or empty text has no words and is scored by its shape and metadata; null metadata is a value of
 its own; repeated rows each get a score; repeated labels of a document count as one, low quality and toxic winning;
@@ -23,12 +24,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-MAX_LABELLED, MAX_POOL, MAX_WORDS, MIN_DOCS, MIN_SHARE = 6000, 3000, 40_000, 4, 0.005
+MAX_LABELLED, MAX_POOL, MAX_WORDS, MIN_DOCS = 6000, 3000, 40_000, 4
 ROUNDS, SURE, PER_ROUND = 3, 0.97, 0.1
 #: Share of the labelled sample kept out of training, for calibration.
 HELD_OUT = 0.25
@@ -206,18 +207,43 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("__key")).drop("__key")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = _sample(docs, labels)
+def _held(key) -> bool:
+    return zlib.crc32(f"held{key}".encode()) % 1000 < HELD_OUT * 1000
+
+
+def _apart(on: str, pos: int, n: int) -> Column:
+    """The screen of Logistic.fit over the labelled documents of training, of which ``all_on`` hold the word."""
+    if not 0 < pos < n:
+        return F.lit(0.0)
+    share = (F.col("all_on") + 1) / (n + 2)
+    return F.abs(F.col(on) / pos - (F.col("all_on") - F.col(on)) / (n - pos)) / F.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
+
+
+def vocabulary_of(sample: DataFrame) -> DataFrame:
+    """The words of the models, w, best first."""
 
     def words(batches):
         for b in batches:
-            count: dict[bytes, int] = {}
-            for t in b.column(0).to_pylist():
-                for w in terms(fold(t)):
-                    count[w] = count.get(w, 0) + 1
-            yield pa.RecordBatch.from_pydict({"w": pa.array(list(count), pa.binary()), "n": pa.array(list(count.values()), pa.int64())})
+            count: dict[bytes, list[int]] = {}
+            for key, text, *ys in zip(*[b.column(i).to_pylist() for i in range(4)]):
+                add = (1, 0, 0, 0) if ys[0] < 0 or _held(key) else (1, 1, *ys)
+                for w in terms(fold(text)):
+                    c = count.setdefault(w, [0, 0, 0, 0])
+                    for i, x in enumerate(add):
+                        c[i] += x
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), *[pa.array([c[i] for c in count.values()], pa.int64()) for i in range(4)]], names=["w", *sums])
+
+    sums = ["n", "all_on", *TARGETS]
+    learnt = F.crc32(F.concat(F.lit("held"), F.col("doc_id").cast("string")).cast("binary")) % 1000 >= HELD_OUT * 1000
+    total = sample.where((F.col("low_quality") >= 0) & learnt).agg(F.count("*"), *[F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS]).first()
+    found = sample.select("doc_id", "text", *TARGETS).mapInArrow(words, "w binary, " + ", ".join(f"{c} long" for c in sums)).groupBy("w").agg(*[F.sum(c).alias(c) for c in sums])
+    best = F.greatest(*[_apart(t, pos, total[0]) for t, pos in zip(TARGETS, total[1:])])
+    return found.where(F.col("n") >= MIN_DOCS).orderBy(best.desc(), F.desc("n"), "w").limit(MAX_WORDS)
+
 
-    ranked = sample.select("text").mapInArrow(words, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(MIN_DOCS, MIN_SHARE * sample.count())).orderBy(F.desc("n"), "w").limit(MAX_WORDS)
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    sample = _sample(docs, labels)
+    ranked = vocabulary_of(sample).select("w")
     vocabulary = {bytes(r["w"]): i for i, r in enumerate(ranked.collect())}
 
     def features(batches):
@@ -239,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     text = sparse("slots", len(vocabulary), np.array([r["dense"] for r in got]).reshape(n, _SHAPE))
     metas = sparse("metas", META_SLOTS, np.zeros((n, 0)))
-    held = np.array([zlib.crc32(f"held{r['key']}".encode()) % 1000 < HELD_OUT * 1000 for r in got], bool)
+    held = np.array([_held(r["key"]) for r in got], bool)
     return Model(vocabulary, [cotrain(text, metas, np.array([r[t] for r in got], float), held) for t in TARGETS])
 
 

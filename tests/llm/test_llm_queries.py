@@ -263,6 +263,15 @@ def test_cotraining_held_out(spark):
     assert words and all(0 <= p <= 1 for p in words.values())
 
 
+def test_cotraining_rare_markers(spark):
+    """Toxic documents whose only markers stand in few documents each (nine of 2,400) are found where training never saw them."""
+    docs = spark.createDataFrame([(i, prose(60, i % 40) + (f" qx{i // 132 % 8}zz" if i % 33 == 0 else f" qw{i % 10}zz")) for i in range(2400)], "doc_id long, text string").selectExpr("doc_id", "text", "'fr' AS lang", "'web' AS source", "300L AS n_chars")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 33 = 0 AS INT) AS toxic")
+    got = cotraining.score(docs, cotraining.train(docs, labels.where("doc_id % 4 <> 1"))).where("doc_id % 4 = 1").collect()
+    bad, good = ([r["p_toxic"] >= 0.5 for r in got if (r["doc_id"] % 33 == 0) == k] for k in (True, False))
+    assert sum(bad) / len(bad) > 0.7 and sum(good) / len(good) < 0.05
+
+
 def test_cotraining_odd(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (7, 0, 1), (7, 1, 0), (9, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     for ls in (labels, labels.limit(0)):
