@@ -25,7 +25,7 @@ from .common import table
 MARK = "▁"
 #: A character that no piece covers scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Distinct stretches whose ids a worker keeps.
+#: Distinct stretches whose ids a worker keeps from text to text.
 CACHE_STRETCHES = 400_000
 
 
@@ -159,12 +159,15 @@ class Encoder:
         if not text:
             return b""
         known, parts = self.known, self.stretches(" " + text)
-        for p in set(parts):
-            if p not in known:
-                if len(known) > CACHE_STRETCHES:
-                    known.clear()
-                    return self(text)
-                known[p] = np.array(self.model.segment(p) if p != "\0" else [self.model.byte_ids[0]], "<i4").tobytes()
+        new = [p for p in set(parts) if p not in known]
+        if len(known) + len(new) > CACHE_STRETCHES:
+            # A text with more stretches than the cache holds keeps them to itself.
+            known.clear()
+            new = set(parts)
+            if len(new) > CACHE_STRETCHES:
+                known = {}
+        for p in new:
+            known[p] = np.array(self.model.segment(p) if p != "\0" else [self.model.byte_ids[0]], "<i4").tobytes()
         return b"".join([known[p] for p in parts])
 
 

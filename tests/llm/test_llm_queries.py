@@ -129,6 +129,17 @@ def test_unigram(odd, empty):
     assert all(back[i] == t for i, t in known(odd) if i is not None)
 
 
+def test_unigram_small_cache(monkeypatch):
+    """A text with more distinct stretches than the cache holds is encoded as with a large one."""
+    model = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [prose(40, 3), prose(400, 4), prose(45, 3), prose(40, 5)]
+    whole = [unigram.Encoder(model)(t) for t in texts]
+    monkeypatch.setattr(unigram, "CACHE_STRETCHES", 50)
+    enc = unigram.Encoder(model)
+    for t, ids in zip(texts, whole):
+        assert enc(t) == ids and len(enc.known) <= 50
+
+
 def test_unigram_is_best():
     """Against all segmentations of short texts."""
     m = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
