@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Parent domains and path prefixes asked for, at most this deep; entries with deeper keys are cut off the same way.
+#: Depth of the parents and prefixes in ORACLE_SQL only; the hosts and lists of the tables are no deeper.
 MAX_LABELS, MAX_SEGMENTS = 8, 4
 ALLOW, BLOCK = "allow", "block"
 
@@ -33,13 +33,13 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys(url: Column) -> Column:
-    """The host, its parents of two labels or more, and the host with each path prefix."""
+def keys(url: Column, n_labels: Column, n_segments: Column) -> Column:
+    """The host, its parents of two labels or more, and the host with each path prefix, as deep as any key listed."""
     h = host(url)
     labels = F.split(h, r"\.")
-    parents = F.transform(F.sequence(F.lit(2), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    parents = F.transform(F.sequence(F.lit(2), F.greatest(F.least(F.size(labels), n_labels), F.lit(2))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(segments), F.lit(MAX_SEGMENTS))), lambda n: F.concat(h, F.lit("/"), F.array_join(F.slice(segments, 1, n), "/")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(segments), n_segments), F.lit(1))), lambda n: F.concat(h, F.lit("/"), F.array_join(F.slice(segments, 1, n), "/")))
     none = F.array().cast("array<string>")
     out = F.concat(
         F.array(h),
@@ -61,8 +61,13 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (capture_id, url, fetched) with the deciding list and key, how many entries were active, and kept."""
     rows = captures.select("capture_id", "url", "fetched", F.monotonically_increasing_id().alias("__row"))
-    asked = rows.select("__row", "capture_id", "url", "fetched", F.explode_outer(keys(F.col("url"))).alias("key"))
     spans = intervals(entries)
+    # One row, also without entries: no parent or prefix that is left out can be a key.
+    deepest = spans.agg(
+        F.coalesce(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))), F.lit(0)).alias("__labels"),
+        F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("__segments"),
+    )
+    asked = rows.crossJoin(F.broadcast(deepest)).select("__row", "capture_id", "url", "fetched", F.explode_outer(keys(F.col("url"), F.col("__labels"), F.col("__segments"))).alias("key"))
     active = asked.join(
         spans.withColumnRenamed("key", "__key"),
         (F.col("key") == F.col("__key")) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))),

@@ -293,6 +293,15 @@ def test_cotraining_odd(spark, odd, empty):
     assert cotraining.score(empty, cotraining.train(empty, labels)).count() == 0
 
 
+def test_url_filters_deep(spark):
+    """Entries of six path segments and parents of ten labels decide, over shallower ones."""
+    host = ".".join("abcdefghij") + ".example.com"
+    captures = spark.createDataFrame([(1, "http://h.org/a/b/c/d/e/f/g"), (2, f"http://x.{host}/p"), (3, "http://h.org/a/b/c/d/e"), (4, "http://single"), (5, "http://h.org")], "capture_id long, url string").selectExpr("*", "TIMESTAMP_NTZ '2024-02-01 00:00:00' AS fetched")
+    entries = spark.createDataFrame([("block", "h.org/a/b/c/d/e/f"), ("allow", "h.org/a"), ("block", host), ("allow", "example.com")], "list string, key string").selectExpr("*", "'add' AS action", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS at")
+    got = sorted((r["capture_id"], r["kept"], r["n_active"], r["key"]) for r in url_filters.filter_urls(captures, entries).fillna("", ["key"]).collect())
+    assert got == [(1, False, 2, "h.org/a/b/c/d/e/f"), (2, False, 2, host), (3, True, 1, "h.org/a"), (4, True, 0, ""), (5, True, 0, "")]
+
+
 def test_url_filters_odd(spark):
     at = lambda d: f"2024-01-{d:02d} 00:00:00"
     captures = spark.createDataFrame([(1, "http://a.b.example.com/x/y?q", at(5)), (2, "http://a.b.example.com/x/y", at(20)), (3, None, at(5)), (4, "nonsense", at(5)), (5, "https://www.example.com:80/", None), (6, "http://B.example.com/ok/page", at(5)), (6, "http://B.example.com/ok/page", at(5))], "capture_id long, url string, fetched string").selectExpr("capture_id", "url", "CAST(fetched AS TIMESTAMP_NTZ) AS fetched", "'x' AS key", "'y' AS list")
