@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in local mode) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -54,7 +56,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends here and a lost executor loses nothing."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``written`` that nothing reads any more."""
+    for t in tables:
+        _made.remove((t.sparkSession, t.written_to))
+        remove(t.sparkSession, t.written_to)
 
 
 def let(value: Column, body) -> Column:

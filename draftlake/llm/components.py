@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of links (a, b).
 
     Each round a node takes the smallest label among its neighbours' and its own, then its label's label; labels fall
-    until none changes. Nulls and self-links add nothing.
+    until none changes. Nulls and self-links add nothing. A round's labels are removed once the next round's exist.
     """
     both = links.select("a", "b").where("a <> b").union(links.select("b", "a").where("a <> b")).toDF("node", "other").distinct()
     both = written(both, "links")
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
+    step = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
     while True:
+        labels = step.select("node", "component")
         seen = both.join(labels.toDF("other", "theirs"), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         near = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "theirs").alias("near"))
         far = labels.toDF("near", "far")
-        step = written(near.join(far, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("component")), "labels")
-        labels = step.select("node", "component")
+        after = written(near.join(far, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("component")), "labels")
+        discard(step)
+        step = after
         if step.where("component <> old").isEmpty():
-            return labels
+            discard(both)
+            return step.select("node", "component")

@@ -4,16 +4,16 @@ Two collections of M sketches, each of R hashes, are computed per document; ever
 sketch from the other is a table key, so M*M tables of 2R rows cost only 2*M*R hashes. A linked pair at the threshold
 of 0.75 meets in no table with a chance of about 1e-4, at 0.8 of 1e-5.
 
-Documents with one shingle set are one candidate from the start. A bucket never emits all its pairs: its members are
-compared with a hub, first the smallest id, then the member with most links, and only members that are still in other
-components than each other after that are compared directly. Pairs whose signatures agree too rarely, or whose sizes
-rule a link out, are dropped before the sets are fetched. Sets of candidates are joined to the pairs by id and compared
-in full. Keys travel packed per batch and table, labels and links as written tables.
-
-Defined results: a null, empty or blank text has no shingles and is linked with nothing; repeated rows of a doc_id are
-one document each with the same sets, and rows of one doc_id with different texts are linked through their id; a null
-doc_id takes its component from others, else null, and is kept only if that is null; an empty table gives an empty
-result; extra columns are ignored by ``find`` and kept by ``keep``.
+Documents with one shingle set are one node from the start. A bucket never emits its pairs: its members are compared
+with a hub, first the smallest node, then the one with most links. Buckets whose members are still in several
+components after that join these components to a neighbourhood, and a neighbourhood's members are compared on their
+full sets where they meet, in blocks of bounded size; only links that join components leave a task. Members whose own
+shingles rule every link out are dropped there first. So hubs only save work; no candidate is lost to them.
+
+Defined results: a null, empty or blank text has no shingles and is linked with nothing; rows of one doc_id with
+different texts are linked through their id; a row without doc_id is linked like any other, its component is the
+smallest doc_id reachable, null if there is none, and it is kept only if that is null; an empty table gives an empty
+result; extra columns are ignored by ``classes`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -23,23 +23,25 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .components import components
 from .decontaminate import chunks
 
 SHINGLE = 5
 THRESHOLD = 75
 M, R = 12, 2
-#: Signatures agree in this share of their hashes or the pair is dropped; four standard errors below the threshold.
-LEAST_AGREEING = 0.5
 #: Documents whose keys of one table meet in one group.
 GROUP_DOCS = 100_000
+#: Documents whose keys a worker packs at once.
+PACK_DOCS = 10_000
+#: Pairs of one hub that meet its set in one place.
+HUB_PAIRS = 2_000
+#: Sets of one neighbourhood that are compared in one block.
+BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 600_000
-#: Bytes of a shingle hash that are kept in the sets.
-SET_BYTES = 6
 
 _MASK = (1 << 64) - 1
 
@@ -113,207 +115,300 @@ def table_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, mark (digest of the set) and signature."""
+    """doc_id, digest of the text, n_shingles, mark (digest of the set) and signature."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             for x, y in chunks(texts):
                 sets = shingle_sets(texts[x:y], hashes)
                 sig = signatures(sets)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
-                ], names=["doc_id", "n_shingles", "mark", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, mark binary, sig binary")
-
-
-_REP = np.dtype([("key", "<u4"), ("doc", "<i8"), ("n", "<i4"), ("comp", "<i8"), ("deg", "<i4")])
-
-
-def _packed(reps: DataFrame, parts: int) -> DataFrame:
-    """(place, rows): each batch's keys of one table and part, packed."""
-
-    def run(batches):
+                ], names=["doc_id", "digest", "n_shingles", "mark", "sig"])
+
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("digest"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, n_shingles long, mark binary, sig binary")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+#: A node's row in a bucket; component and links are known from the second round on.
+_FIRST = np.dtype([("key", "<u4"), ("node", "<i8"), ("n", "<i4")])
+_LATER = np.dtype([*_FIRST.descr, ("comp", "<i8"), ("deg", "<i4")])
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("ok", "?")])
+
+
+def _paired(x: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's hub, and the pairs of hub and member; ok says whether the sizes allow a link.
+
+    ``first``: the hub is the smallest node. ``later``: the one with most links; only pairs across components.
+    ``apart``: components instead of nodes, beside the bucket's smallest.
+    """
+    within = (x["node"],) if kind == "first" else (x["node"], -x["deg"]) if kind == "later" else (x["comp"],)
+    x = x[np.lexsort((*within, x["key"]))]
+    first = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]]) if len(x) else np.zeros(0, np.int64)
+    hub = x[np.repeat(first, np.diff(np.r_[first, len(x)]))]
+    name = "comp" if kind == "apart" else "node"
+    ok = _sizes_allow(x["n"], hub["n"])
+    other = x["node"] != hub["node"] if kind == "first" else x["comp"] != hub["comp"]
+    if kind == "later":
+        other &= ok
+    out = np.zeros(int(other.sum()), _PAIR)
+    out["a"], out["b"], out["ok"] = hub[name][other], x[name][other], ok[other] | (kind == "apart")
+    return x[first], out
+
+
+def _bucketed(nodes: DataFrame, parts: int, kind: str) -> DataFrame:
+    """Distinct pairs (a, b, ok) of the buckets of nodes (sig, node, n, ...).
+
+    A worker pairs the members it holds with their bucket's hub there and passes on the hubs alone, packed by table and
+    part, so a bucket of any size meets in one place with at most one row from each worker's batch.
+    """
+    dtype = _FIRST if kind == "first" else _LATER
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        keys = table_keys(np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(t.num_rows, -1))
+        rows = np.zeros(t.num_rows, dtype)
+        for c in dtype.names[1:]:
+            rows[c] = t[c].to_numpy()
+        place, packs, pairs = [], [], []
+        for k in range(keys.shape[1]):
+            part = (keys[:, k] % np.uint64(parts)).astype(np.int64)
+            rows["key"] = keys[:, k] >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                hubs, own = _paired(rows[order[x:y]], kind)
+                place.append(k * parts + int(part[order[x]]))
+                packs.append(hubs.tobytes())
+                pairs.append(own)
+        place.append(-1 - int(rows["node"].min()))  # a place of its own for the pairs
+        packs.append(np.unique(np.concatenate(pairs)).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(packs, pa.binary())], names=["place", "rows"])
+
+    def packed(batches):
+        held, size = [], 0
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(b.num_rows, -1)
-            keys = table_keys(sig)
-            rows = np.zeros(b.num_rows, _REP)
-            for i, c in ((0, "doc"), (1, "n"), (3, "comp"), (4, "deg")):
-                rows[c] = b.column(i).to_numpy()
-            place, packs = [], []
-            for t in range(keys.shape[1]):
-                part = keys[:, t] % np.uint64(parts)
-                rows["key"] = keys[:, t] >> np.uint64(32)
-                for p in range(parts):
-                    if len(own := rows[part == p]):
-                        place.append(t * parts + p)
-                        packs.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(packs, pa.binary())], names=["place", "rows"])
-
-    return reps.mapInArrow(run, "place long, rows binary")
-
-
-def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(a, b).astype(np.int64) >= THRESHOLD * np.maximum(a, b).astype(np.int64)
-
-
-def _hub_pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bucket's members in other components than its hub, paired with the hub."""
-    x = x[np.lexsort((x["doc"], -x["deg"], x["key"]))]
-    first = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]])
-    hub = np.repeat(first, np.diff(np.r_[first, len(x)]))
-    ok = (x["comp"] != x["comp"][hub]) & _sizes_allow(x["n"], x["n"][hub])
-    return x["doc"][hub][ok], x["doc"][ok]
-
-
-def _cross_pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bucket's pairs of members in different components."""
-    x = x[np.lexsort((x["doc"], x["comp"], x["key"]))]
-    starts = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]])
-    out_a, out_b = [], []
-    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(x)].tolist()):
-        if e - s > 1 and x["comp"][s] != x["comp"][e - 1]:
-            run = x[s:e]
-            next_comp = np.searchsorted(run["comp"], run["comp"], "right")
-            for i in range(e - s):
-                rest = run[next_comp[i] :]
-                ok = _sizes_allow(rest["n"], run["n"][i])
-                out_a.append(np.full(int(ok.sum()), run["doc"][i]))
-                out_b.append(rest["doc"][ok])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def candidate_pairs(reps: DataFrame, parts: int, cross: bool = False) -> DataFrame:
-    """Distinct (a, b), a < b, of reps (doc, n, sig, comp, deg) that share a bucket and whose components differ."""
-    pairs_of = _cross_pairs if cross else _hub_pairs
+            held.append(b)
+            size += b.num_rows
+            if size >= PACK_DOCS:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
 
     def run(t: pa.Table) -> pa.Table:
-        a, b = pairs_of(np.frombuffer(b"".join(t["rows"].to_pylist()), _REP))
-        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        rows = b"".join(t["rows"].to_pylist())
+        out = np.frombuffer(rows, _PAIR) if t["place"][0].as_py() < 0 else np.unique(_paired(np.frombuffer(rows, dtype), kind)[1])
+        return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "ok": pa.array(out["ok"], pa.bool_())})
 
-    return _packed(reps, parts).groupBy("place").applyInArrow(run, "a long, b long").distinct()
+    return nodes.select("sig", *dtype.names[1:]).mapInArrow(packed, "place long, rows binary").groupBy("place").applyInArrow(run, "a long, b long, ok boolean").distinct()
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b, share): the pairs whose signatures agree often enough to be worth their sets."""
-    sig = reps.select(F.col("doc"), "sig")
-    joined = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-
-    def run(batches):
-        for x in batches:
-            s = [np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint32).reshape(x.num_rows, -1) for i in (2, 3)]
-            share = (s[0] == s[1]).mean(1)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= LEAST_AGREEING))
-
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(a, b).astype(np.int64) >= THRESHOLD * np.maximum(a, b).astype(np.int64)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, elements): the packed shingle sets of the wanted documents, null texts and repeated rows aside."""
-    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, elements): the packed shingle set of each rep (node, doc, digest)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc", _digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("text"))
+    r = reps.select("node", F.col("doc").alias("r_doc"), F.col("digest").alias("r_digest"))
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
             texts = b.column(1).to_pylist()
             for x, y in chunks(texts):
-                packed = [s.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for s in shingle_sets(texts[x:y], hashes)]
-                marks = [hashlib.blake2b(s, digest_size=8).digest() for s in packed]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(packed, pa.binary()), pa.array(marks, pa.binary())], names=["doc", "elements", "mark"])
+                packed = [s.tobytes() for s in shingle_sets(texts[x:y], hashes)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(packed, pa.binary())], names=["node", "elements"])
 
-    return rows.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, elements binary, mark binary").dropDuplicates(["doc", "mark"]).select("doc", "elements")
+    joined = rows.join(r, F.col("digest").eqNullSafe(F.col("r_digest")) & F.col("doc").eqNullSafe(F.col("r_doc"))).select("node", "text")
+    return joined.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
-    return out.view(np.uint64).ravel()
+def _linked(u: np.ndarray, v: np.ndarray) -> bool:
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(u) + len(v) - both)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that are links on their full sets."""
-    joined = pairs.select("a", "b").join(sets.toDF("b", "eb"), "b").join(sets.toDF("a", "ea"), "a").select("a", "b", "ea", "eb")
+    """(a, b) of the pairs (hub, member) that are links on their full sets; a hub's set is copied as its pairs need."""
+    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("fan"))
+    salted = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("fan")).alias("salt"))
+    hubs = fan.join(sets.toDF("a", "ea"), "a").select("a", "ea", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("salt"))
+    joined = salted.join(sets.toDF("b", "eb"), "b").join(hubs, ["a", "salt"]).select("a", "b", "ea", "eb")
 
     def run(batches):
         for x in batches:
-            ok = []
-            for ea, eb in zip(x.column(2).to_pylist(), x.column(3).to_pylist()):
-                u, v = _unpack(ea), _unpack(eb)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= THRESHOLD * (len(u) + len(v) - both))
+            ok = [_linked(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) for u, v in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _with_components(reps: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """reps with component and number of links, and the components."""
-    comp = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("deg"))
-    both = comp.join(degree, "node")
-    out = reps.select("doc", "n", "sig").join(both, F.col("doc") == F.col("node"), "left")
-    return out.select("doc", "n", "sig", F.coalesce("component", "doc").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg")), comp
+def _may_link(n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether a set of n elements, ``own`` of them in no other set, can be linked with any set as large as these."""
+    shared = n - own
+    other = np.maximum(shared, n.min() if len(n) else 0)
+    return 100 * shared >= THRESHOLD * (n + other - shared)
+
+
+def joining_links(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links between sets of different components, enough to join what they join; with ``side``, between its two values."""
+    at = np.arange(len(node))
+    n = np.array([len(s) for s in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    doc = np.repeat(at, n)
+    while len(at):  # sets that can have no partner go, until all that are left may have one
+        used = np.bincount(flat)
+        own = np.bincount(doc, (used[flat] == 1), len(node)).astype(np.int64)
+        stay = np.zeros(len(node), bool)
+        stay[at] = _may_link(n[at], own[at])
+        if stay[at].all():
+            break
+        at, flat, doc = at[stay[at]], flat[stay[doc]], doc[stay[doc]]
+    if not len(at) or (comp[at] == comp[at[0]]).all():
+        return []
+    order = np.argsort(flat, kind="stable")
+    holders, starts = doc[order], np.concatenate(([0], np.cumsum(np.bincount(flat))))
+    names, sizes = np.unique(comp[at], return_counts=True)
+    root = {int(c): int(c) for c in names}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out, bounds = [], np.searchsorted(doc, [at, at + 1])
+    for i, x, y in zip(at.tolist(), *bounds.tolist()):
+        if side is None and comp[i] == names[sizes.argmax()] or side is not None and side[i] != side.min():
+            continue  # the largest component is met from the other side of each pair
+        common = np.bincount(np.concatenate([holders[starts[k] : starts[k + 1]] for k in flat[x:y].tolist()]), minlength=len(node))
+        ok = (100 * common >= THRESHOLD * (n[i] + n - common)) & (comp != comp[i])
+        if side is not None:
+            ok &= side != side[i]
+        for j in np.flatnonzero(ok).tolist():
+            p, q = find(int(comp[i])), find(int(comp[j]))
+            if p != q:
+                root[p] = q
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _within(neighbourhoods: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of each neighbourhood (node, comp, place), block against block."""
+    rows = neighbourhoods.join(sets, "node")
+    blocks = rows.groupBy("place").agg(F.ceil(F.sum(F.octet_length("elements").cast("long") + 64) / BLOCK_BYTES).alias("blocks"))
+    rows = rows.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "elements")
+
+    def run(t: pa.Table) -> pa.Table:
+        side = None if t["i"][0] == t["j"][0] else t["block"].to_numpy()
+        links = joining_links(t["node"].to_numpy(), t["comp"].to_numpy(), [np.frombuffer(e, np.uint64) for e in t["elements"].to_pylist()], side)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("place", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _still_apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    of = comp.select("node", "component")
-    out = pairs.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
-    return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "share")
+def _state(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (node, sig, n) with component and number of links."""
+    comp = components(links)
+    degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count("*").cast("int").alias("deg"))
+    out = written(nodes.join(comp, "node", "left").join(degree, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg")), "state")
+    return out
 
 
-def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between representatives that span each component, and the representatives (doc, mark)."""
-    reps = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").cast("int").alias("n"), F.min("sig").alias("sig"))
-    reps = written(reps, "reps")
+def links(docs: DataFrame, reps: DataFrame, same_id: DataFrame) -> DataFrame:
+    """Links (a, b) between reps (node, doc, digest, n, sig) that span each component; same_id (a, b) are links already."""
     parts = max(1, -(-reps.count() // GROUP_DOCS))
-    # Rows of one doc_id with different texts have several marks: their sets are linked through the id.
-    found = written(signed.sparkSession.createDataFrame([], "a long, b long"), "links")
-    sets = None
-    state = reps.select("doc", "n", "sig", F.col("doc").alias("comp"), F.lit(0).alias("deg"))
-    for cross in (False, False, True):
-        pairs = written(agreeing(candidate_pairs(state, parts, cross), reps), "pairs")
-        if pairs.isEmpty():
-            if cross:
-                break
-            continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("doc"), "doc", "left_anti")
-        more = written(_sets(docs, wanted), "sets") if sets is None or not wanted.isEmpty() else None
-        sets = more if sets is None else sets.unionByName(more) if more is not None else sets
-        # One pair a document first, the others only if that left them apart.
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b")
-        found = written(found.unionByName(verified(best, sets)), "links")
-        state, comp = _with_components(reps, found)
-        left = written(_still_apart(pairs, comp).join(best, ["a", "b"], "left_anti"), "pairs")
-        if not left.isEmpty():
-            found = written(found.unionByName(verified(left, sets)), "links")
-            state, comp = _with_components(reps, found)
-        state = written(state, "state")
-    return found, reps.select("doc", "mark")
+    pairs = written(_bucketed(reps, parts, "first"), "pairs")
+    met = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+    nodes = written(reps.join(met, "node"), "nodes")
+    sets = written(_sets(docs, nodes), "sets")
+    found = written(verified(pairs.where("ok").select("a", "b"), sets).unionByName(same_id), "found")
+    parts = max(1, -(-nodes.count() // GROUP_DOCS))
+    state = _state(nodes.select("node", "sig", "n"), found)
+    more = _bucketed(state, parts, "later").select("a", "b")
+    seen = pairs.where("ok").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    more = written(more.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "pairs")
+    if not more.isEmpty():
+        both = written(found.unionByName(verified(more, sets)), "found")
+        discard(found, state)
+        found = both
+        state = _state(nodes.select("node", "sig", "n"), found)
+    discard(pairs, more)
+    apart = components(_bucketed(state, parts, "apart").select("a", "b"))
+    open_nodes = state.select("node", "comp").join(apart.toDF("comp", "place"), "comp")
+    out = written(found.unionByName(_within(open_nodes, sets)), "found")
+    discard(found, state, sets, nodes)
+    return out
+
+
+#: A text that holds more than one in so many rows is hot; there are at most as many such texts.
+HOT_SHARE = 1000
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row's doc_id, digest and n_shingles; its component (a node) and the smallest doc_id of that, if it has words."""
+    signed = written(sign(docs), "signed")
+    filled = signed.where("n_shingles > 0")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("row")
+    reps = filled.groupBy("mark").agg(first, F.count("*").alias("copies"), F.first("n_shingles").cast("int").alias("n"), F.first("sig").alias("sig"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "mark", "copies", F.col("row.doc_id").alias("doc"), F.col("row.digest").alias("digest"), "n", "sig"), "reps")
+    several = filled.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most")
+    marks = filled.select("doc_id", "mark").join(several, "doc_id").where("mark <> least").select("least", "mark").distinct()
+    node = reps.select("node", "mark")
+    same_id = marks.join(node.toDF("a", "least"), "least").join(node.toDF("b", "mark"), "mark").select("a", "b")
+    found = links(docs, reps, written(same_id, "same_id"))
+    of_node = reps.select("node", "mark", "copies", "doc").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of_node.groupBy("component").agg(F.min("doc").alias("least"))
+    of_mark = written(of_node.join(least, "component").select("mark", "copies", "component", "least"), "marks")
+    discard(found, reps)
+    # A text with very many copies would meet in one task: the few such texts are sent to all.
+    total = of_mark.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(of_mark.where(F.col("copies") * HOT_SHARE > total).drop("copies"))
+    rows = signed.select("doc_id", "digest", "n_shingles", "mark")
+    cold = rows.join(F.broadcast(hot.select("mark")), "mark", "left_anti").join(of_mark.drop("copies"), "mark", "left")
+    return cold.unionByName(rows.join(hot, "mark")).drop("mark")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    signed = written(sign(docs), "signed")
-    found, reps = links(docs, signed)
-    comp = components(found)
-    of_mark = reps.join(comp, F.col("doc") == F.col("node"), "left").select("mark", F.coalesce("component", "doc").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "mark").join(of_mark, "mark", "left")
-    own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return _rows(docs).select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; of repeated rows of one doc_id, one."""
-    gone = classes(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left
+    """One row of each component, with all its columns: of the smallest doc_id, else of those without.
+
+    Rows without words: one of each doc_id, and all that have none. Which of several equal rows (doc_id and text) stays
+    is not defined if their other columns differ.
+    """
+    group = F.struct("component", F.when(F.col("component").isNull(), F.col("doc_id")).alias("id"))
+    rows = _rows(docs).where("component IS NOT NULL OR doc_id IS NOT NULL").groupBy(group.alias("of"), "doc_id", "digest").agg(F.count("*").alias("times"))
+    rows = written(rows, "verdicts")
+    first = rows.groupBy("of").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("row")).select(F.col("row.doc_id").alias("f_doc"), F.col("row.digest").alias("f_digest"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("digest") == F.col("f_digest"))
+    gone = rows.join(first, is_first, "left_anti").select("doc_id", "digest")
+    twice = rows.join(first, is_first, "left_semi").where("times > 1").select("doc_id", "digest")
+    whole = docs.select(F.struct("*").alias("row"))
+    whole = whole.select("row", F.col("row.doc_id").cast("long").alias("id"), _digest(F.coalesce("row.text", F.lit(""))).alias("of_text"))
+    same = (F.col("digest") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    left = whole.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        one = left.join(twice, same, "left_semi").groupBy("id", "of_text").agg(F.first("row").alias("row")).select("row")
+        left = left.join(twice, same, "left_anti").select("row").unionByName(one)
+    return left.select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

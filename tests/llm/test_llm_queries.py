@@ -205,6 +205,72 @@ def test_near_duplicates_chain(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates.classes(df).collect()} == label
 
 
+def near_copies(n, seed, share=0.02, size=120):
+    """Copies of one text, each with edits of its own, from none to many."""
+    r = random.Random(seed)
+    base = prose(size, seed).split()
+    return [" ".join(f"e{k}x{i}" if r.random() < share * (k % 7) else w for i, w in enumerate(base)) for k in range(n)]
+
+
+def exact_links(texts):
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in texts.items() if (w := t.lower().split())}
+    return [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+
+
+def labels_of(nodes, links):
+    label = {k: k for k in nodes}
+    while True:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
+def test_near_duplicates_blocks(spark, monkeypatch):
+    """A group whose copies are mostly apart, over many small packs and blocks, against all pairs."""
+    texts = dict(enumerate(near_copies(260, 11) + near_copies(40, 12) + [prose(80, 100 + k) for k in range(40)]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = labels_of(texts, exact_links(texts))
+    assert len(set(want.values())) > 60
+    for pack, block, hub in ((10_000, 8 << 20, 2000), (20, 30_000, 10)):
+        monkeypatch.setattr(near_duplicates, "PACK_DOCS", pack)
+        monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", block)
+        monkeypatch.setattr(near_duplicates, "HUB_PAIRS", hub)
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates.classes(df).collect()} == want
+
+
+def test_near_duplicates_recall(spark):
+    """Share of exact links found at sf0.1, by similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = near_duplicates.shingle_sets([(r["text"] or "").encode() for r in rows], near_duplicates.WordHashes())
+    holders = defaultdict(list)
+    for r, s in zip(rows, sets):
+        for x in s.tolist():
+            holders[x].append(r["doc_id"])
+    size = {r["doc_id"]: len(s) for r, s in zip(rows, sets)}
+    common = Counter((a, b) for h in holders.values() if 1 < len(h) for i, a in enumerate(h) for b in h[i + 1 :])
+    comp = {r["doc_id"]: r["component_id"] for r in near_duplicates.classes(docs).collect()}
+    seen = defaultdict(list)
+    for (a, b), k in common.items():
+        if 100 * k >= 75 * (size[a] + size[b] - k):
+            seen[int(20 * k / (size[a] + size[b] - k))].append(comp[a] == comp[b])
+    assert sum(map(len, seen.values())) > 100 and all(sum(v) >= 0.9 * len(v) for v in seen.values()), {k: (sum(v), len(v)) for k, v in seen.items()}
+
+
+def test_near_duplicates_keep(spark):
+    """Repeated rows, rows without doc_id, rows of one doc_id with different texts, clashing names."""
+    a, b, c = near_copies(2, 3)[0], prose(60, 4), prose(60, 5)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (4, c), (None, a), (None, prose(60, 6)), (None, prose(60, 6)), (None, prose(60, 6) + " more"), (None, ""), (None, None), (5, ""), (5, ""), (6, "")]
+    df = spark.createDataFrame([(*r, *"xyzuvw") for r in rows], "doc_id long, text string, __gone string, row string, digest string, id string, of_text string, component string")
+    got = near_duplicates.keep(df)
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert got.columns == df.columns and kept[1, a] == 1 and kept[5, ""] == 1 == kept[6, ""] and kept[None, ""] == 1 == kept[None, None]
+    assert sum(v for (i, _), v in kept.items() if i == 3) == 1 and not any(i in (2, 4) for i, _ in kept) and kept[None, a] == 0
+    assert sum(v for (i, t), v in kept.items() if i is None and t) == 1 and sum(kept.values()) == 7
+
+
 def test_suffix_dedup_odd(odd, empty):
     rows = sorted({(i is not None, i or 0, t.encode()) for i, t in known(odd)}, key=lambda x: x[:2])
     seen, expected = set(), {}
