@@ -84,48 +84,41 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, carried: Column) -> DataFrame:
+    """row (what is carried) and the measures of its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(*[F.col(c) for c in keep], text.alias("__t")).select(
-        "*", _words(F.col("__t")).alias("__w"), F.filter(F.split(F.col("__t"), "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "").alias("__l")
-    )
-    t = F.col("__t")
+    t = F.col("t")
+    lines = docs.select(carried.alias("row"), text.alias("t")).select("*", _words(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "").alias("l"))
     return lines.select(
-        *[F.col(c) for c in keep],
-        F.col("__l"),
-        F.size("__w").cast("long").alias("__n_words"),
-        _without(t, SPACE).cast("long").alias("__word_chars"),
-        (F.length(t) - _without(t, SYMBOLS)).cast("long").alias("__n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("__n_dup_lines"),
-        repeated_words(F.col("__w")).alias("__n_repeat_words"),
-        F.filter(F.col("__l"), lambda x: ~line_fails(x)).alias("__good"),
+        "row",
+        "l",
+        F.size("w").cast("long").alias("n_words"),
+        _without(t, SPACE).cast("long").alias("word_chars"),
+        (F.length(t) - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("w")).alias("n_repeat_words"),
+        F.filter(F.col("l"), lambda x: ~line_fails(x)).alias("good"),
     )
 
 
-def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    good = F.array_join("__good", "\n")
-    m = _measured(docs, keep).withColumn("__kept_chars", _without(good, SPACE).cast("long"))
-    failed = (F.col("__n_words") < MIN_WORDS) | (F.col("__n_repeat_words") * 100 > F.col("__n_words") * MAX_REPEAT_PERCENT)
-    return m.withColumn("__base_failed", failed).withColumn(
-        "__kept", ~F.col("__base_failed") & (F.col("__kept_chars") * 100 >= F.col("__word_chars") * KEEP_PERCENT)
-    )
+def _judged(docs: DataFrame, carried: Column) -> DataFrame:
+    m = _measured(docs, carried).withColumn("kept_chars", _without(F.array_join("good", "\n"), SPACE).cast("long"))
+    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") * 100 >= F.col("word_chars") * KEEP_PERCENT))
 
 
 def signals(docs: DataFrame) -> DataFrame:
     """One row a document: base measures, lines removed, verdict."""
-    j = _judged(docs, ["doc_id"])
-    return j.select(
-        "doc_id",
-        *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
-        (F.size("__l") - F.size("__good")).cast("long").alias("n_lines_removed"),
-        F.col("__kept_chars").alias("kept_chars"),
-    )
+    return _judged(docs, F.col("doc_id")).select(
+        F.col("row").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        (F.size("l") - F.size("good")).cast("long").alias("n_lines_removed"), "kept_chars",
+    )
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with all their columns, ``text`` without its removed lines."""
-    j = _judged(docs, docs.columns).where("__kept")
-    return j.withColumn("text", F.array_join("__good", "\n")).select(*docs.columns)
+    j = _judged(docs, F.struct("*")).where("kept")
+    return j.select(*[(F.array_join("good", "\n") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

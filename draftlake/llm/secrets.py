@@ -204,23 +204,23 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
 
-def scan(docs: DataFrame, keep: list[str], rules=RULES) -> DataFrame:
-    """``keep`` and ``__t`` (text, null as empty) and ``__s``: all spans as array<struct<start, kind, end>>, in order."""
+def scan(docs: DataFrame, carried: Column, rules=RULES) -> DataFrame:
+    """row (what is carried), t (text, null as empty) and s: all spans as array<struct<start, kind, end>>, in order."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True}
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__t"), F.col("doc_id").alias("__id"))
+    rows = docs.select(carried.alias("row"), F.coalesce("text", F.lit("")).alias("t"), F.col("doc_id").alias("id"))
     if queries:
         blocks = max(1, -(-docs.count() // BLOCK_DOCS))
         vocabulary = sorted(set().union(*map(_trigrams, queries.values())))
         cand = candidates(postings(docs.select("doc_id", "text"), vocabulary, blocks), queries)
-        rows = rows.join(cand, F.col("__id").eqNullSafe(F.col("__cand")), "left")
+        rows = rows.join(cand, F.col("id").eqNullSafe(F.col("__cand")), "left")
     else:
         rows = rows.withColumn("__rules", F.lit(0))
     asked = F.coalesce("__rules", F.lit(0))
     per_rule = []
     for i, r in enumerate(rules):
-        hit = (asked.bitwiseAND(1 << i) != 0) if i in queries else F.col("__t").rlike(r.pattern)
-        per_rule.append(F.when(hit, _spans(F.col("__t"), r, i)).otherwise(_none()))
-    return rows.select(*keep, "__t", F.array_sort(F.concat(*per_rule)).alias("__s"))
+        hit = (asked.bitwiseAND(1 << i) != 0) if i in queries else F.col("t").rlike(r.pattern)
+        per_rule.append(F.when(hit, _spans(F.col("t"), r, i)).otherwise(_none()))
+    return rows.select("row", "t", F.array_sort(F.concat(*per_rule)).alias("s"))
 
 
 def _joined(spans: Column, rules) -> Column:
@@ -231,13 +231,13 @@ def _joined(spans: Column, rules) -> Column:
 def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row a document: matches of each base rule, all spans, and a digest of the base rules' spans."""
     base = [i for i, r in enumerate(rules) if r.base]
-    s = F.col("__s")
+    s = F.col("s")
 
     def of_kind(i: int) -> Column:
         return F.filter(s, lambda x: x["kind"] == i)
 
-    return scan(docs, ["doc_id"], rules).select(
-        "doc_id",
+    return scan(docs, F.col("doc_id"), rules).select(
+        F.col("row").alias("doc_id"),
         *[F.size(of_kind(i)).cast("long").alias(f"n_{rules[i].kind}") for i in base],
         F.sha2(_joined(F.filter(s, lambda x: x["kind"].isin(base)), rules), 256).alias("base_sha256"),
         _joined(s, rules).alias("spans"),
@@ -246,7 +246,7 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "<secret>") -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans are replaced as one."""
-    scanned = scan(docs, docs.columns, rules)
+    scanned = scan(docs, F.struct("*"), rules)
 
     def widened(acc: Column, x: Column) -> Column:
         gap = F.array(F.struct(acc["reach"].alias("a"), x["start"].alias("b")))
@@ -254,12 +254,12 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "<secret>") -> DataFrame:
         return F.struct(F.greatest(acc["reach"], x["end"]).alias("reach"), gaps.alias("gaps"))
 
     def rebuilt(acc: Column) -> Column:
-        between = F.transform(acc["gaps"], lambda g: F.substring(F.col("__t"), g["a"] + 1, g["b"] - g["a"]))
-        return F.array_join(F.concat(between, F.array(F.substring(F.col("__t"), acc["reach"] + 1, F.length("__t")))), mark)
+        between = F.transform(acc["gaps"], lambda g: F.substring(F.col("t"), g["a"] + 1, g["b"] - g["a"]))
+        return F.array_join(F.concat(between, F.array(F.substring(F.col("t"), acc["reach"] + 1, F.length("t")))), mark)
 
     none = F.struct(F.lit(0).alias("reach"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps"))
-    text = F.when(F.size("__s") > 0, F.aggregate("__s", none, widened, rebuilt)).otherwise(F.col("text"))
-    return scanned.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.size("s") > 0, F.aggregate("s", none, widened, rebuilt)).otherwise(F.col("row.text"))
+    return scanned.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

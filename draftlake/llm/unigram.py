@@ -25,8 +25,9 @@ from .common import table
 MARK = "▁"
 #: A character that no piece covers scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Distinct stretches whose ids a worker keeps from text to text.
-CACHE_STRETCHES = 400_000
+#: Bytes of stretches and their ids that a worker remembers, and what an entry takes besides.
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 160
 
 
 class DoubleArrayTrie:
@@ -150,25 +151,31 @@ def load(path: str) -> Model:
 
 
 class Encoder:
-    """Ids of whole texts as int32 arrays, each distinct stretch segmented once."""
+    """Ids of whole texts as int32 arrays; a stretch is segmented once while the cache, bounded in bytes, holds it."""
 
     def __init__(self, model: Model):
-        self.model, self.stretches, self.known = model, re.compile(model.stretch).findall, {}
+        self.model, self.stretches, self.known, self.held = model, re.compile(model.stretch).findall, {}, 0
+
+    def _ids(self, stretch: str) -> bytes:
+        return np.array(self.model.segment(stretch) if stretch != "\0" else [self.model.byte_ids[0]], "<i4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        known, parts = self.known, self.stretches(" " + text)
-        new = [p for p in set(parts) if p not in known]
-        if len(known) + len(new) > CACHE_STRETCHES:
-            # A text with more stretches than the cache holds keeps them to itself.
-            known.clear()
-            new = set(parts)
-            if len(new) > CACHE_STRETCHES:
-                known = {}
-        for p in new:
-            known[p] = np.array(self.model.segment(p) if p != "\0" else [self.model.byte_ids[0]], "<i4").tobytes()
-        return b"".join([known[p] for p in parts])
+        known, out = self.known, []
+        for p in self.stretches(" " + text):
+            ids = known.get(p)
+            if ids is None:
+                ids = self._ids(p)
+                size = ENTRY_BYTES + len(ids) + 4 * len(p)
+                if size <= CACHE_BYTES // 8:  # a stretch of a great part of the cache is not worth the others
+                    self.held += size
+                    if self.held > CACHE_BYTES:
+                        known.clear()
+                        self.held = size
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 def _path(path: str | None) -> str:

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -130,14 +131,31 @@ def test_unigram(odd, empty):
 
 
 def test_unigram_small_cache(monkeypatch):
-    """A text with more distinct stretches than the cache holds is encoded as with a large one."""
+    """Texts with more distinct stretches than the cache holds, and one long stretch, are encoded as with a large one."""
     model = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
-    texts = [prose(40, 3), prose(400, 4), prose(45, 3), prose(40, 5)]
+    texts = [prose(40, 3), prose(400, 4), prose(45, 3), "漢字" * 900, prose(40, 5)]
     whole = [unigram.Encoder(model)(t) for t in texts]
-    monkeypatch.setattr(unigram, "CACHE_STRETCHES", 50)
+    monkeypatch.setattr(unigram, "CACHE_BYTES", 10_000)
     enc = unigram.Encoder(model)
     for t, ids in zip(texts, whole):
-        assert enc(t) == ids and len(enc.known) <= 50
+        assert enc(t) == ids and enc.held <= 10_000
+
+
+def test_unigram_many_stretches():
+    """A text of more than 400,000 distinct words."""
+    model = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
+    text = " ".join(f"{k:x}" for k in range(400_050))
+    enc = unigram.Encoder(model)
+    assert model.decode(np.frombuffer(enc(text), "<i4").tolist()).decode() == text and enc.held <= unigram.CACHE_BYTES
+
+
+def test_clashing_names(spark):
+    """Columns named as the operators name their own."""
+    names = "__t __s __id __rules __cand __w __l __n_words __kept __good row t s id w l good kept n_words".split()
+    docs = spark.createDataFrame([(1, "password = hunter2222, and so on. " + prose(40, 2), *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (secrets.redact(docs), quality_rules.clean(docs)):
+        assert out.columns == docs.columns and all(r[n] == n for r in out.collect() for n in names)
+    assert secrets.redact(docs).count() == 2 and secrets.redact(docs).where("doc_id = 1").first()["text"].startswith("<secret>, and")
 
 
 def test_unigram_is_best():
