@@ -58,12 +58,8 @@ def effective(true_color: Column, index: Column, layer_true: Column, layer_index
 def nearest_index(colors: DataFrame) -> DataFrame:
     """colors (r, g, b and others) with the index of the closest palette colour, the smaller on ties.
 
-    The palette has 255 rows whatever the data, so it is an array literal that each row folds over: no join.
+    The palette has 255 rows whatever the data. A squared distance less that of the colour itself is linear in r, g and
+    b, so 256 times that plus the index is one number an index, and the least of these is one compiled expression.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip("rgb", rgb(i))]) for i in range(1, 256)])
-
-    def distance(p: Column) -> Column:
-        return sum(((F.col(n) - p[n]) * (F.col(n) - p[n]) for n in "rgb"), F.lit(0))
-
-    best = F.array_min(F.transform(table, lambda p: F.struct(distance(p).alias("d"), p["i"].alias("i"))))
-    return colors.withColumn("nearest_aci", best["i"])
+    packed = [f"{(x * x + y * y + z * z) * 256 + i}L - {512 * x}L * r - {512 * y}L * g - {512 * z}L * b" for i in range(1, 256) for x, y, z in [rgb(i)]]
+    return colors.withColumn("nearest_aci", F.expr(f"CAST(pmod(least({', '.join(packed)}), 256) AS INT)"))

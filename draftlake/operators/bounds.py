@@ -48,10 +48,13 @@ def robust(points: DataFrame) -> DataFrame:
 
 
 def without_radiating(strokes: DataFrame, cell: float = 1e-6, most: int = 12) -> DataFrame:
-    """Strokes neither of whose ends coincides with more than ``most`` stroke ends of the drawing."""
-    key = lambda x, y: F.struct((F.col(x) / cell).cast("bigint").alias("i"), (F.col(y) / cell).cast("bigint").alias("j"))
+    """Strokes neither of whose ends coincides with more than ``most`` stroke ends of the drawing.
+
+    Ends coincide in one cell, found by truncation; ends that aren't plausible coincide with nothing.
+    """
+    key = lambda x, y: F.when(plausible(F.col(x), F.col(y)), F.struct((F.col(x) / cell).cast("bigint").alias("i"), (F.col(y) / cell).cast("bigint").alias("j")))
     keyed = strokes.withColumns({"__p": key("x1", "y1"), "__q": key("x2", "y2")})
-    ends = keyed.select("doc_id", F.explode(F.array("__p", "__q")).alias("__e")).groupBy("doc_id", "__e").count().where(F.col("count") > most)
+    ends = keyed.select("doc_id", F.explode(F.array("__p", "__q")).alias("__e")).where("__e IS NOT NULL").groupBy("doc_id", "__e").count().where(F.col("count") > most)
     for c in ("__p", "__q"):
         keyed = keyed.join(ends.select("doc_id", F.col("__e").alias(c)), ["doc_id", c], "left_anti")
     return keyed.drop("__p", "__q")

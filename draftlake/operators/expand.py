@@ -14,9 +14,11 @@ MODEL = 0
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed to the shared folder, or one of our own where none is set."""
+    """The rows checkpointed to the shared folder, or, in local mode, to one of our own where none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="draftlake-"))
     return df.checkpoint()
 

@@ -70,6 +70,7 @@ SQL = {
     "vertices": "SELECT l_returnflag AS doc_id, l_orderkey + 1 AS owner, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS x, l_quantity * 1000 AS y, l_suppkey % 10 AS layer FROM lineitem",
     "strokes": """SELECT * FROM (SELECT doc_id, owner, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM vertices
   WINDOW w AS (PARTITION BY doc_id, owner ORDER BY l_linenumber, l_partkey, l_suppkey, x, y)) WHERE x2 IS NOT NULL""",
+    "e": "SELECT * FROM (SELECT doc_id, x1 AS x, y1 AS y FROM strokes UNION ALL SELECT doc_id, x2, y2 FROM strokes) WHERE abs(x) < 1e7 AND abs(y) < 1e7",
 }
 
 

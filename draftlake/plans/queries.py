@@ -161,15 +161,13 @@ def robust_bounds(t: Tables) -> DataFrame:
     return rounded(bounds.robust(t.points()), "min_x", "min_y", "max_x", "max_y", places=4)
 
 
-@query()
+@query(
+    """SELECT s.* FROM strokes s WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, x, y FROM (SELECT doc_id, trunc(x1 / 1000) AS x, trunc(y1 / 1000) AS y FROM strokes UNION ALL SELECT doc_id, trunc(x2 / 1000), trunc(y2 / 1000) FROM strokes) GROUP BY ALL HAVING count(*) > 12) e
+    WHERE e.doc_id = s.doc_id AND ((e.x = trunc(x1 / 1000) AND e.y = trunc(y1 / 1000)) OR (e.x = trunc(x2 / 1000) AND e.y = trunc(y2 / 1000))))""",
+    "vertices", "strokes",
+)
 def radiating_filter(t: Tables) -> DataFrame:
-    s = t.strokes().select("doc_id", "owner", *[F.floor(F.col(c) / 1000).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return bounds.without_radiating(s)
-
-
-ORACLE_SQL["radiating_filter"] = with_views("", "vertices", "strokes").rstrip() + """, f AS (SELECT doc_id, owner, floor(x1 / 1000) AS x1, floor(y1 / 1000) AS y1, floor(x2 / 1000) AS x2, floor(y2 / 1000) AS y2 FROM strokes),
-e AS (SELECT doc_id, x, y FROM (SELECT doc_id, x1 AS x, y1 AS y FROM f UNION ALL SELECT doc_id, x2, y2 FROM f) GROUP BY ALL HAVING count(*) > 12)
-SELECT doc_id, owner, x1, y1, x2, y2 FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = f.doc_id AND ((e.x = f.x1 AND e.y = f.y1) OR (e.x = f.x2 AND e.y = f.y2)))"""
+    return bounds.without_radiating(t.strokes(), 1000.0)
 
 
 @query("""SELECT s.* FROM strokes s JOIN (SELECT doc_id, min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM vertices GROUP BY 1) v USING (doc_id)
@@ -178,7 +176,14 @@ def oversize_filter(t: Tables) -> DataFrame:
     return bounds.without_oversize(t.strokes(), bounds.aabb(t.vertices()), 0.2)
 
 
-@query()
+@query("""SELECT s.* FROM strokes s JOIN (SELECT doc_id, (lx + hx) / 2 AS cx, (ly + hy) / 2 AS cy, sqrt((hx - lx) * (hx - lx) + (hy - ly) * (hy - ly)) / 2 AS half FROM (
+  SELECT doc_id, CASE WHEN n < 4 THEN ax ELSE mx - rx END AS lx, CASE WHEN n < 4 THEN bx ELSE mx + rx END AS hx, CASE WHEN n < 4 THEN ay ELSE my - ry END AS ly, CASE WHEN n < 4 THEN by_ ELSE my + ry END AS hy FROM (
+  SELECT *, CASE WHEN 3 * px < 1e-6 THEN 10 ELSE 3 * px END AS rx, CASE WHEN 3 * py < 1e-6 THEN 10 ELSE 3 * py END AS ry FROM (
+  SELECT doc_id, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, (list_sort(list(abs(x - mx))))[CAST(floor((count(*) - 1) * 0.9) AS BIGINT) + 1] AS px,
+    (list_sort(list(abs(y - my))))[CAST(floor((count(*) - 1) * 0.9) AS BIGINT) + 1] AS py
+  FROM e JOIN (SELECT doc_id, median(x) AS mx, median(y) AS my FROM e GROUP BY 1) USING (doc_id) GROUP BY 1)))) b USING (doc_id)
+  WHERE NOT ((sqrt((x1 - cx) ** 2 + (y1 - cy) ** 2) < 0.04 * half AND sqrt((x2 - cx) ** 2 + (y2 - cy) ** 2) > 1.5 * half) OR (sqrt((x2 - cx) ** 2 + (y2 - cy) ** 2) < 0.04 * half AND sqrt((x1 - cx) ** 2 + (y1 - cy) ** 2) > 1.5 * half))""",
+  "vertices", "strokes", "e")
 def origin_anchored_filter(t: Tables) -> DataFrame:
     return bounds.without_centre_rays(t.strokes())
 
@@ -214,40 +219,40 @@ def sheet_number_match(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", text.is_sheet_number(name).alias("is_number"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(s, '[^\p{Han}]', '', 'g')) >= 4 AND 2 * length(regexp_replace(s, '[^\p{Han}]', '', 'g')) > length(regexp_replace(s, '\s', '', 'g')) AS is_name FROM (SELECT doc_id, left(text, CAST(doc_id % 9 AS INT)) || '测试图纸平面' AS s FROM documents)")
+@query(r"SELECT doc_id, length(regexp_replace(s, '[^\p{Han}]', '', 'g')) >= 4 AND 2 * length(regexp_replace(s, '[^\p{Han}]', '', 'g')) > length(regexp_replace(s, '\s', '', 'g')) AS is_name FROM (SELECT doc_id, text || repeat('测试图纸平面', 100) AS s FROM documents)")
 def cjk_dominant(t: Tables) -> DataFrame:
-    s = F.concat(F.left("text", (F.col("doc_id") % 9).cast("int")), F.lit("测试图纸平面"))
-    return t("documents").select("doc_id", text.is_cjk_name(s).alias("is_name"))
+    return t("documents").select("doc_id", text.is_cjk_name(F.concat("text", F.lit("测试图纸平面" * 100))).alias("is_name"))
 
 
-@query(r"SELECT doc_id, regexp_matches(left(text, 3), '[\p{L}\p{Nd}]') AS readable FROM documents")
+@query(r"SELECT doc_id, regexp_matches(text, '[\p{L}\p{Nd}]') AS readable FROM documents UNION ALL SELECT doc_id, regexp_matches(regexp_replace(text, '[a-z0-9]', '', 'g'), '[\p{L}\p{Nd}]') FROM documents")
 def readable_text(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", text.is_readable(F.left("text", F.lit(3))).alias("readable"))
+    d = t("documents")
+    return d.select("doc_id", text.is_readable(F.col("text")).alias("readable")).unionAll(d.select("doc_id", text.is_readable(F.regexp_replace("text", "[a-z0-9]", ""))))
 
 
-_MARKED = "concat('{\\\\fArial;A}%%c', substring(text, 1, 40), '\\\\P%%d%%%', doc_id, '\\\\~%%')"
+_MARKED = "concat('{\\\\fArial;A}%%c', text, '\\\\P%%d%%%', doc_id, '\\\\~%%')"
 
 
-@query(r"SELECT doc_id, 'A%%c' || left(text, 40) || chr(10) || '%%d%%%' || doc_id || ' %%' AS plain FROM documents")
+@query(r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all('{\fArial;A}%%c' || text || '\P%%d%%%' || doc_id || '\~%%', '(?s)(\\[ACcFfHLlOoQSTW][^;]*;?|\\.|[{}]|[^\\{}]+|\\)'),
+  lambda x: CASE WHEN x IN ('{', '}', '\') THEN '' WHEN left(x, 1) <> '\' THEN x WHEN x[2] = 'P' THEN chr(10) WHEN x[2] IN ('~', 'X') THEN ' ' WHEN x[2] = '\' THEN '\' ELSE '' END), '') AS plain FROM documents""")
 def strip_mtext(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", text.strip_mtext(F.expr(_MARKED)).alias("plain"))
 
 
-@query(r"SELECT doc_id, 'φ' || left(text, 40) || '°%' || doc_id || '%' AS plain FROM documents WHERE left(text, 40) NOT LIKE '%\%\%%' ESCAPE '\'")
+@query(r"""SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN x = '%%' AND i = len(w) THEN '%' WHEN lower(x) = '%%c' THEN 'φ' WHEN lower(x) = '%%d' THEN '°' WHEN lower(x) = '%%p' THEN '±' WHEN x = '%%%' THEN '%' WHEN lower(x) IN ('%%u', '%%o') THEN '' ELSE x END), '') AS plain
+  FROM (SELECT doc_id, regexp_extract_all('%%c' || text || '%%d%%%' || doc_id || '%%', '(?s)(%%[cCdDpPuUoO%]|%%|%|[^%]+)') AS w FROM documents)""")
 def expand_percent(t: Tables) -> DataFrame:
-    d = t("documents").where(~F.contains(F.left("text", F.lit(40)), F.lit("%%")))
-    return d.select("doc_id", text.expand_percent(F.concat(F.lit("%%c"), F.left("text", F.lit(40)), F.lit("%%d%%%"), F.col("doc_id"), F.lit("%%"))).alias("plain"))
+    return t("documents").select("doc_id", text.expand_percent(F.concat(F.lit("%%c"), F.col("text"), F.lit("%%d%%%"), F.col("doc_id"), F.lit("%%"))).alias("plain"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN n = '' THEN 'sheet' ELSE n END AS name FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(text, 120), '[\s/\\:*?"<>|]+', '-', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '-{2,}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 80), '[-.]+$', '') AS n FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN n = '' THEN 'sheet' ELSE n END AS name FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\s\x0B/\\:*?"<>|]+', '-', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '-{2,}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 80), '[-.]+$', '') AS n FROM documents)""")
 def sanitize_name(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", text.sanitize_name(F.left("text", F.lit(120))).alias("name"))
+    return t("documents").select("doc_id", text.sanitize_name(F.col("text")).alias("name"))
 
 
-@query("SELECT doc_id, replace(left(text, 60), chr(10), chr(10)) AS back FROM documents WHERE left(text, 60) NOT LIKE '%^%'")
+@query("SELECT doc_id, replace(replace(replace(replace(replace(replace(text, chr(13), '^M'), chr(10), '^J'), '^J', chr(10)), '^M', chr(13)), '^I', chr(9)), '^ ', '^') AS back FROM documents")
 def dxf_unquote(t: Tables) -> DataFrame:
-    d = t("documents").where(~F.contains(F.left("text", F.lit(60)), F.lit("^")))
-    return d.select("doc_id", text.dxf_unquote(text.dxf_sanitize(F.left("text", F.lit(60)))).alias("back"))
+    return t("documents").select("doc_id", text.dxf_unquote(text.dxf_sanitize(F.col("text"))).alias("back"))
 
 
 @query("SELECT code, CASE WHEN code BETWEEN 10 AND 59 THEN 'double' WHEN code < 10 THEN 'string' WHEN code BETWEEN 60 AND 79 THEN 'int16' WHEN code BETWEEN 90 AND 99 THEN 'int32' ELSE 'string' END AS kind FROM (SELECT DISTINCT CAST(event_id % 100 AS INT) AS code FROM events)")
@@ -338,9 +343,28 @@ def record_segments(t: Tables) -> DataFrame:
     return r.groupBy("page_id", "r").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_pairs"))
 
 
+_WIDER = "CASE WHEN sheet_index % 3 = 0 THEN max_x + 40000 ELSE max_x END"
+
+
+def _last(name: str, sql: str, *views: str, recursive: bool = True) -> None:
+    """Oracle SQL of which the last part is a list of further common tables and the final query."""
+    ORACLE_SQL[name] = with_views("", *views).rstrip().replace("WITH", "WITH RECURSIVE" if recursive else "WITH", 1) + ", " + sql
+
+
 @query()
 def overlap_dedupe(t: Tables) -> DataFrame:
-    return sheets.without_overlaps(t.sheets())
+    return sheets.without_overlaps(t.sheets().withColumn("max_x", F.expr(_WIDER)))
+
+
+_last(
+    "overlap_dedupe",
+    f"""w AS (SELECT * REPLACE ({_WIDER} AS max_x) FROM sheets), b AS (SELECT *, (max_x - min_x) * (max_y - min_y) AS area, row_number() OVER (PARTITION BY doc_id ORDER BY (max_x - min_x) * (max_y - min_y) DESC, sheet_index) AS r FROM w),
+g AS (SELECT doc_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(i INT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, s DOUBLE)[]) AS kept FROM b WHERE r = 1 UNION ALL
+SELECT g.doc_id, b.r, CASE WHEN len(list_filter(g.kept, lambda k: greatest(least(max_x, k.c) - greatest(min_x, k.a), 0) * greatest(least(max_y, k.d) - greatest(min_y, k.b), 0) > 0.3 * least(area, k.s))) = 0
+  THEN list_append(g.kept, {{'i': sheet_index, 'a': min_x, 'b': min_y, 'c': max_x, 'd': max_y, 's': area}}) ELSE g.kept END FROM g JOIN b ON b.doc_id = g.doc_id AND b.r = g.r + 1)
+SELECT w.* FROM w JOIN (SELECT doc_id, unnest(list_transform(kept, lambda k: k.i)) AS sheet_index FROM (SELECT doc_id, arg_max(kept, r) AS kept FROM g GROUP BY 1)) USING (doc_id, sheet_index)""",
+    "sheets",
+)
 
 
 @query()
@@ -348,6 +372,16 @@ def components(t: Tables) -> DataFrame:
     return sheets.grid_components(bounds.grid_density(t.points(), 10000.0, 3))
 
 
+_last(
+    "components",
+    """c AS (SELECT doc_id, CAST(floor(x / 10000) AS BIGINT) AS i, CAST(floor(y / 10000) AS BIGINT) AS j, count(*) AS n FROM points GROUP BY ALL HAVING count(*) >= 3),
+r AS (SELECT doc_id, i, j, i AS a, j AS b FROM c UNION SELECT r.doc_id, r.i, r.j, c.i, c.j FROM r JOIN c ON c.doc_id = r.doc_id AND abs(c.i - r.a) <= 1 AND abs(c.j - r.b) <= 1),
+m AS (SELECT doc_id, i, j, min(b * 1000000 + a) AS k FROM r GROUP BY ALL)
+SELECT c.doc_id, c.i, c.j, c.n, CAST(dense_rank() OVER (PARTITION BY c.doc_id ORDER BY k) - 1 AS INT) AS component FROM c JOIN m ON m.doc_id = c.doc_id AND m.i = c.i AND m.j = c.j""",
+    "points",
+)
+
+
 @query()
 def sheet_detect(t: Tables) -> DataFrame:
     return sheets.residual_sheets(t.points().withColumn("is_text", F.lit(True)), t.sheets().where("sheet_index % 2 = 0"))
@@ -358,3 +392,13 @@ def manifest(t: Tables) -> DataFrame:
     from ..sinks.manifest import manifest as build
 
     return build(text_sheet_assign(t), t.sheets())
+
+
+_last(
+    "manifest",
+    """t AS (SELECT p.doc_id, p.handle, coalesce(min(s.sheet_index), 0) AS sheet_index FROM points p LEFT JOIN sheets s ON s.doc_id = p.doc_id AND x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y
+  WHERE trim(p.text) <> '' AND abs(x) < 1e7 AND abs(y) < 1e7 GROUP BY ALL), k AS (SELECT doc_id, sheet_index, count(*) AS n FROM t GROUP BY ALL),
+l AS (SELECT s.doc_id, list({'index': s.sheet_index, 'name': name, 'box': [CAST(min_x AS DOUBLE), min_y, max_x, max_y], 'texts': coalesce(n, 0)} ORDER BY s.sheet_index) AS sheets FROM sheets s LEFT JOIN k ON k.doc_id = s.doc_id AND k.sheet_index = s.sheet_index GROUP BY 1)
+SELECT l.doc_id, CAST(to_json({'schema_version': 1, 'source': l.doc_id, 'sheets': sheets, 'texts_outside': coalesce(n, 0)}) AS VARCHAR) AS manifest FROM l LEFT JOIN k ON k.doc_id = l.doc_id AND k.sheet_index = 0""",
+    "points", "sheets",
+)

@@ -19,8 +19,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """The same from rows (doc_id, value)."""
-    clean = F.regexp_replace("value", r"(?<=[\[:,\s])-?(?:nan|inf(?:inity)?)(?=[\],}\s])", "null")
+    """The same from rows (doc_id, value). Bare nan and infinity, of any case and sign, become null; strings stay."""
+    pieces = F.regexp_extract_all("value", F.lit(r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|")'), F.lit(1))
+    bare = F.transform(pieces, lambda x: F.when(x.startswith('"'), x).otherwise(F.regexp_replace(x, r"(?i)(?<![\w.+-])[-+]?(?:nan|inf(?:inity)?)(?!\w)", "null")))
+    clean = F.when(F.col("value").rlike(r"(?i)[\[:,\s][-+]?(?:nan|inf)"), F.array_join(bare, "")).otherwise(F.col("value"))
     return raw.select("doc_id", F.try_parse_json(clean).alias("v"))
 
 
@@ -39,6 +41,7 @@ def drawings(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", F.lit("json").alias("source"), version_name(header).alias("version"), header.isNull().alias("version_assumed"),
         F.to_json(get(v, "$.HEADER", "variant")).alias("header"), get(v, "$.OBJECTS", "variant").isNull().alias("no_objects"),
+        F.when(v.isNull(), "not JSON").when(get(v, "$.OBJECTS", "variant").isNull(), "no OBJECTS").alias("error"),
     )
 
 

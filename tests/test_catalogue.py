@@ -12,4 +12,4 @@ def test_equals_oracle(name, same):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(name, spark):
-    assert QUERIES[name](spark, DATA).columns
+    assert QUERIES[name](spark, DATA).collect() is not None
