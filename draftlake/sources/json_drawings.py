@@ -56,13 +56,17 @@ def objects(docs: DataFrame) -> DataFrame:
     )
 
 
+def _pair(a: Column) -> Column:
+    return F.struct(F.get(a, 0).alias("x"), F.get(a, 1).alias("y"))
+
+
 def _p2(x: Column, path: str) -> Column:
     a = get(x, path, "array<double>")
-    return F.when(F.size(a) >= 2, F.struct(F.get(a, 0).alias("x"), F.get(a, 1).alias("y")))
+    return F.when(F.size(a) >= 2, _pair(a))
 
 
 def _p2s(x: Column, path: str) -> Column:
-    return F.transform(get(x, path, "array<array<double>>"), lambda a: F.struct(F.get(a, 0).alias("x"), F.get(a, 1).alias("y")))
+    return F.transform(get(x, path, "array<array<double>>"), _pair)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -70,14 +74,23 @@ def entities(docs: DataFrame) -> DataFrame:
     e = objects(docs).where("kind = 'entity' AND type_name <> 'ATTDEF'")
     x = F.col("o")
     mode = F.coalesce(get(x, "$.entmode", "int"), F.lit(2))
+    kind = F.col("type_name")
+    measured = F.filter(F.array(*[_p2(x, f"$.{k}") for k in ("def_pt", "xline1_pt", "xline2_pt", "text_midpt")]), lambda a: a.isNotNull())
+    corners = F.filter(F.array(*[_p2(x, f"$.corner{k}") for k in range(1, 5)]), lambda a: a.isNotNull())
+    verts = F.transform(get(x, "$.verts", "array<struct<vertex:array<double>>>"), lambda a: _pair(a["vertex"]))
     points = F.coalesce(
+        F.when(kind.startswith("DIMENSION"), measured), F.when(kind.isin("SOLID", "TRACE", "3DFACE"), corners), F.when(kind == "MLINE", verts),
+        F.when(kind.isin("RAY", "XLINE"), F.array(_p2(x, "$.point"), _p2(x, "$.vector"))),
+        F.when(kind == "SPLINE", _p2s(x, "$.fit_pts")),
         _p2s(x, "$.points"),
         F.when(_p2(x, "$.start").isNotNull() & _p2(x, "$.end").isNotNull(), F.array(_p2(x, "$.start"), _p2(x, "$.end"))),
         F.when(F.coalesce(_p2(x, "$.center"), _p2(x, "$.ins_pt"), _p2(x, "$.point")).isNotNull(), F.array(F.coalesce(_p2(x, "$.center"), _p2(x, "$.ins_pt"), _p2(x, "$.point")))),
     )
     scale = get(x, "$.scale", "array<double>")
-    return e.select(
-        "doc_id", "handle", "seq", "type_name",
+    loops = get(x, "$.paths", "array<struct<polyline_paths:array<struct<point:array<double>,bulge:double>>>>")
+    paths = F.transform(loops, lambda h: F.struct(F.transform(h["polyline_paths"], lambda a: _pair(a["point"])).alias("points"), F.transform(h["polyline_paths"], lambda a: F.coalesce(a["bulge"], F.lit(0.0))).alias("bulges")))
+    return _with_vertices(e, e.select(
+        "doc_id", "handle", "seq", F.when(kind.startswith("DIMENSION"), "DIMENSION").otherwise(kind).alias("type_name"),
         F.when(mode == 1, "paper").when((mode == 0) & (F.col("owner") != 0), "block").otherwise("model").alias("space"),
         F.when((mode == 0), F.col("owner")).otherwise(F.lit(0)).alias("owner"), "layer",
         F.coalesce(get(x, "$.color.index", "int"), get(x, "$.color", "int"), F.lit(256)).alias("color_index"),
@@ -86,8 +99,21 @@ def entities(docs: DataFrame) -> DataFrame:
         get(x, "$.bulges", "array<double>").alias("bulges"), (F.coalesce(get(x, "$.flag", "int"), F.lit(0)).bitwiseAND(513) != 0).alias("closed"),
         F.coalesce(get(x, "$.text_value", "string"), get(x, "$.text", "string")).alias("text"), get(x, "$.tag", "string").alias("tag"),
         F.coalesce(get(x, "$.height", "double"), get(x, "$.text_height", "double")).alias("height"), F.coalesce(get(x, "$.rotation", "double"), F.lit(0.0)).alias("rotation"),
-        handle(x, "$.block_header").alias("block"), F.coalesce(F.get(scale, 0), F.lit(1.0)).alias("sx"), F.coalesce(F.get(scale, 1), F.lit(1.0)).alias("sy"),
-    )
+        F.coalesce(handle(x, "$.block_header"), F.when(kind.startswith("DIMENSION"), handle(x, "$.block"))).alias("block"), F.coalesce(F.get(scale, 0), F.lit(1.0)).alias("sx"), F.coalesce(F.get(scale, 1), F.lit(1.0)).alias("sy"),
+        _p2(x, "$.sm_axis").alias("axis"), get(x, "$.axis_ratio", "double").alias("ratio"), get(x, "$.degree", "int").alias("degree"), get(x, "$.knots", "array<double>").alias("knots"),
+        _p2s(x, "$.control_points").alias("control"), get(x, "$.weights", "array<double>").alias("weights"), get(x, "$.turns", "double").alias("turns"), paths.alias("paths"),
+    ))
+
+
+def _with_vertices(e: DataFrame, rows: DataFrame) -> DataFrame:
+    """Old-style polylines with the points and bulges of their vertices, which name them as owner; vertices themselves go."""
+    x = F.col("o")
+    v = e.where(F.col("type_name").isin("VERTEX_2D", "VERTEX_3D", "VERTEX_MESH", "VERTEX_PFACE")).select("doc_id", "owner", "seq", _p2(x, "$.point").alias("p"), F.coalesce(get(x, "$.bulge", "double"), F.lit(0.0)).alias("b"))
+    listed = F.array_sort(F.collect_list(F.struct("seq", "p", "b")))
+    v = v.where("p IS NOT NULL").groupBy("doc_id", F.col("owner").alias("handle")).agg(listed.alias("l"))
+    v = v.select("doc_id", "handle", F.transform("l", lambda a: a["p"]).alias("__p"), F.transform("l", lambda a: a["b"]).alias("__b"))
+    joined = rows.where(~F.col("type_name").startswith("VERTEX_") & (F.col("type_name") != "SEQEND")).join(v, ["doc_id", "handle"], "left")
+    return joined.withColumns({"points": F.coalesce("points", "__p"), "bulges": F.coalesce("bulges", "__b")}).select(*rows.columns)
 
 
 def layers(docs: DataFrame) -> DataFrame:
