@@ -72,7 +72,8 @@ def parts(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     filled = rows.where("owner <> 0").select("doc_id", F.col("owner").alias("block")).distinct()
     dims = rows.where("type_name = 'DIMENSION' AND block IS NOT NULL")
     ins = ins.unionByName(dims.join(filled, ["doc_id", "block"], "left_semi").select("doc_id", "owner", "handle", "seq", "block", g.affine(*g.IDENTITY).alias("t")))
-    shown = rows.where("type_name <> 'INSERT' AND NOT (type_name = 'DIMENSION' AND block IS NOT NULL) AND type_name NOT LIKE 'VERTEX%'").unionByName(dims.join(filled, ["doc_id", "block"], "left_anti"))
+    of_dim = F.when(F.col("type_name") == "DIMENSION", F.col("block"))
+    shown = rows.where("type_name <> 'INSERT' AND type_name NOT LIKE 'VERTEX%'").withColumn("__dim", of_dim).join(filled.withColumnRenamed("block", "__dim"), ["doc_id", "__dim"], "left_anti")
 
     def leaf(r: DataFrame, strokes: Column) -> DataFrame:
         return r.select("doc_id", "owner", "handle", "seq", "type_name", "layer", "height", "rotation", label_text().alias("text"), strokes.alias("strokes"), F.when(F.size("points") >= 1, p).alias("at"), F.size("points").alias("n_points"))
