@@ -156,10 +156,10 @@ def overlap_area(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def gap(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """The larger of the gaps between two boxes in x and y; 0 where they overlap in both."""
+    """The distance of two boxes; 0 where they meet."""
     gx = F.greatest(a["min_x"] - b["max_x"], b["min_x"] - a["max_x"], F.lit(0.0))
     gy = F.greatest(a["min_y"] - b["max_y"], b["min_y"] - a["max_y"], F.lit(0.0))
-    return F.greatest(gx, gy)
+    return F.hypot(gx, gy)
 
 
 def text_width(n_chars: Column, height: Column) -> Column:
@@ -170,3 +170,11 @@ def text_anchor(h_align: Column, attachment: Column) -> Column:
     """start, middle or end, of the alignment or, if set, the attachment column."""
     by_column = F.element_at(F.array(F.lit("start"), F.lit("middle"), F.lit("end")), (F.pmod(attachment - 1, F.lit(3)) + 1).cast("int"))
     return F.when(attachment.between(1, 9), by_column).when(h_align.isin(1, 4), "middle").when(h_align == 2, "end").otherwise("start")
+
+
+def hookline_on(annotation_type: Column, path_type: Column, points: Column) -> Column:
+    """Whether a leader has a hook line: no annotation, straight path, and a last leg more than 15 degrees off the horizontal."""
+    p, q = F.element_at(points, -2), F.element_at(points, -1)
+    angle = F.when(F.size(points) > 2, F.atan2(p["y"] - q["y"], p["x"] - q["x"])).otherwise(F.lit(math.pi / 2))
+    flat = (F.abs(angle) <= math.pi / 12) | (F.abs(angle - math.pi) <= math.pi / 12)
+    return (annotation_type.bitwiseAND(3) == 0) & (path_type.bitwiseAND(1) == 0) & ~flat

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +133,25 @@ def group_value_type(code: Column) -> Column:
     for a, b, kind in ranges:
         out = F.when(code.between(a, b), kind).otherwise(out)
     return out
+
+
+def class_name_score(name: Column) -> Column:
+    """How much a decoded class name looks like one. The weights of kinds of characters."""
+    kinds = (("[A-Z0-9]", 4), ("[_$*]", 2), ("[a-z]", 1), (r"[\x00-\x1F]", -12))
+    total = sum((F.regexp_count(name, F.lit(k)) * w for k, w in kinds), F.lit(0))
+    other = F.regexp_count(name, F.lit(r"[^A-Za-z0-9_$*\x00-\x1F]")) * -4
+    return F.when(F.coalesce(F.length(name), F.lit(0)) == 0, -16).otherwise(total + other)
+
+
+#: Drawing code pages that are Latin-1 or GBK; others are read as UTF-8.
+LATIN_PAGES, GBK_PAGES = (2, 11, 12, 30), (31, 39)
+
+
+def _decoded(raw: pd.Series, page: pd.Series) -> pd.Series:
+    names = {**dict.fromkeys(LATIN_PAGES, "latin-1"), **dict.fromkeys(GBK_PAGES, "gbk")}
+    return pd.Series([None if b is None else bytes(b).decode(names.get(p, "utf-8"), "replace") for b, p in zip(raw, page)])
+
+
+def decode_codepage(raw: Column | str, page: Column | str) -> Column:
+    """Bytes as text by the drawing's code page. The JVM's GBK decoder is closed to SQL by default, so this is Arrow-batched."""
+    return F.pandas_udf(_decoded, "string")(raw, page)

@@ -131,7 +131,7 @@ def detect(entities: DataFrame, layers: DataFrame) -> DataFrame:
     titled = frames.drop("name").join(sheets.titles(frames, texts), ["doc_id", "sheet_index"]).withColumnRenamed("title", "name").select(names)
     dots = content_dots(entities).join(frames.select("doc_id").distinct(), "doc_id", "left_semi")
     count = frames.groupBy("doc_id").agg(F.max("sheet_index").alias("k"))
-    rest = sheets.residual_sheets(dots, frames).join(count, "doc_id").withColumn("sheet_index", F.col("sheet_index") + F.col("k")).select(names)
+    rest = sheets.residual_sheets(dots, frames, texts).join(count, "doc_id").withColumn("sheet_index", F.col("sheet_index") + F.col("k")).select(names)
     whole = _box(content_dots(entities), "doc_id", x=F.col("x"), y=F.col("y")).join(count, "doc_id", "left_anti")
     whole = whole.select("doc_id", F.lit(1).alias("sheet_index"), F.lit(WHOLE).alias("name"), "min_x", "min_y", "max_x", "max_y")
     return titled.unionByName(rest).unionByName(whole)

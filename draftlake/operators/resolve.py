@@ -70,3 +70,11 @@ def dictionary_values(dictionaries: DataFrame, variables: DataFrame, key: str) -
     """(doc_id, value) of a named dictionary variable."""
     item = dictionaries.where(F.col("key") == key).select("doc_id", F.col("item_handle").alias("handle"))
     return item.join(variables, ["doc_id", "handle"]).select("doc_id", "value")
+
+
+def with_type_name(rows: DataFrame, fixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (doc_id, type_code) with type_name: of the fixed codes (type_code, name), else of the drawing's own classes
+    (doc_id, type_code, name)."""
+    own = classes.select("doc_id", "type_code", F.col("name").alias("__own"))
+    out = rows.join(fixed.select("type_code", F.col("name").alias("__fixed")), "type_code", "left").join(own, ["doc_id", "type_code"], "left")
+    return out.withColumn("type_name", F.coalesce("__fixed", "__own")).drop("__fixed", "__own")

@@ -6,20 +6,27 @@ covers, so the join stays an equi-join whatever the number of either.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, gap, overlap_area
 from ..functions.text import is_cjk_name, is_readable, is_sheet_number
+from . import bounds
+from .expand import cut
 
 #: Boxes are filed under at most so many cells a side of their drawing's extent.
 CELLS = 32
 MAX_OVERLAP = 0.3
 MIN_PIXELS = 8.0
 MIN_WIDTH, MAX_WIDTH = 4096, 16384
-#: Residual content: cell size, points a cell and per component, share of texts, density, sheets, margin.
-CELL, MIN_CELL, MERGE_GAP, MIN_TEXT, MIN_DENSITY, MOST, MARGIN = 10_000.0, 5, 0.3, 0.3, 100 / 1e10, 16, 0.05
+#: Residual content. Quantile that is clipped, coarse and fine grid, points of a cell and of a component,
+#: gap that is closed, share of texts, density, sheets, margin.
+CLIP, COARSE, FINE, CELL, MIN_CELL, MIN_DOTS, MERGE_GAP, MIN_TEXT, MIN_DENSITY, MOST, MARGIN = 0.005, 64, 512, 10_000.0, 5, 50, 0.3, 0.3, 100 / 1e10, 16, 0.05
+#: Auto-rerendering: least share of readable texts, greatest width and pixels.
+MIN_PASS, HARD_WIDTH, MAX_PIXELS = 0.6, 32_768, 4e8
 TITLE_WIDTH, TITLE_HEIGHT = 1 / 4, 1 / 6
 
 
@@ -133,23 +140,137 @@ def grid_components(cells: DataFrame) -> DataFrame:
     return cells.groupBy("doc_id").applyInPandas(run, "doc_id string, i long, j long, n long, component int")
 
 
-def residual_sheets(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """Sheets of what lies in no frame: dense components with enough texts, the 16 with most points, margins added.
+def _gridded(points: DataFrame, by: list[str], most: int, cell: float | None) -> DataFrame:
+    """points with i, j: cells of the given size, or as wide as ``most`` of them cut the group's box, and at most as many."""
+    box = points.groupBy(*by).agg(F.min("x").alias("__x"), F.min("y").alias("__y"), F.max("x").alias("__u"), F.max("y").alias("__v"))
+
+    def index(v: str, lo: str, hi: str) -> Column:
+        span = F.col(hi) - F.col(lo)
+        size = F.lit(cell) if cell else F.when(span > 0, span / most).otherwise(F.lit(1.0))
+        count = F.least(F.floor(span / cell) + 1, F.lit(most)) if cell else F.lit(most)
+        return F.least(F.floor((F.col(v) - F.col(lo)) / size), count - 1).cast("long")
+
+    return points.join(box, by).withColumns({"i": index("x", "__x", "__u"), "j": index("y", "__y", "__v")}).drop("__x", "__y", "__u", "__v")
+
+
+def _bridged(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells (by, i, j) with component, numbered row by row: neighbours are the eight around a cell and, straight on or
+    one aside, cells two away behind an empty one. A group has at most FINE * FINE cells."""
+    steps = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a or b) and not (abs(a) > 1 and abs(b) > 1)]
 
-    points: doc_id, handle, x, y, is_text.
+    def run(c: pd.DataFrame) -> pd.DataFrame:
+        c = c.sort_values(["j", "i"]).reset_index(drop=True)
+        at = {cell: k for k, cell in enumerate(zip(c.i.tolist(), c.j.tolist()))}
+        label, n = [-1] * len(c), 0
+        for first, k in at.items():
+            if label[k] < 0:
+                label[k], todo = n, [first]
+                for x, y in todo:
+                    for a, b in steps:
+                        q = at.get((x + a, y + b), -1)
+                        far = abs(a) > 1 or abs(b) > 1
+                        if q >= 0 and label[q] < 0 and not (far and (x + int(a / 2), y + int(b / 2)) in at):
+                            label[q] = n
+                            todo.append((x + a, y + b))
+                n += 1
+        return c.assign(component=label)[[*by, "i", "j", "component"]]
+
+    types = dict(cells.dtypes)
+    return cells.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*by, "i", "j"]) + ", component int")
+
+
+def _clusters(points: DataFrame, by: list[str], most: int, cell: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points of dense cells with their component, and the components' boxes, those with enough points."""
+    keyed = cut(_gridded(points, by, most, cell))
+    dense = keyed.groupBy(*by, "i", "j").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CELL)
+    inside = keyed.join(_bridged(dense.select(*by, "i", "j"), by), [*by, "i", "j"]).drop("i", "j")
+    boxes = cut(inside.groupBy(*by, "component").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xy"], F.count("*").alias("dots"), F.sum(F.col("is_text").cast("long")).alias("texts")).where(F.col("dots") >= MIN_DOTS))
+    return inside.join(boxes.select(*by, "component"), [*by, "component"], "left_semi"), boxes
+
+
+_SIDES = ("min_x", "min_y", "max_x", "max_y")
+
+
+def merged(boxes: DataFrame, by: list[str], part: float = MERGE_GAP) -> DataFrame:
+    """boxes (by, component, sides, dots, texts) united where the gap is below ``part`` of the smaller box's smaller side,
+    also by way of others. A union bears the place of its first member by falling dots."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["dots", "component"], ascending=[False, True]).reset_index(drop=True)
+        side = [min(r.max_x - r.min_x, r.max_y - r.min_y) for r in b.itertuples()]
+        root = list(range(len(b)))
+        rows = list(b.itertuples())
+        for i, p in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                q = rows[j]
+                gap_x, gap_y = max(p.min_x - q.max_x, q.min_x - p.max_x, 0.0), max(p.min_y - q.max_y, q.min_y - p.max_y, 0.0)
+                if math.hypot(gap_x, gap_y) < part * min(side[i], side[j]) and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        return b.assign(component=root)
+
+    out = boxes.groupBy(*by).applyInPandas(run, boxes.schema)
+    return out.groupBy(*by, "component").agg(*[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in _SIDES], F.sum("dots").alias("dots"), F.sum("texts").alias("texts"))
+
+
+def residual_sheets(points: DataFrame, frames: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Sheets of what lies in no frame.
+
+    The outermost points are clipped; components of a coarse grid that a fine one splits give their parts, close ones
+    united, those with few texts as one block, others stay whole. Dense ones remain, of those the 16 with most points,
+    without those that overlap a frame. points: doc_id, x, y, is_text and handle; texts (doc_id, handle, x, y, text,
+    height) give the names.
     """
-    left = residual(points, frames)
-    keyed = left.withColumns({"i": F.floor(F.col("x") / CELL), "j": F.floor(F.col("y") / CELL)})
-    dense = keyed.groupBy("doc_id", "i", "j").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CELL)
-    comp = grid_components(dense)
-    inside = keyed.join(comp.select("doc_id", "i", "j", "component"), ["doc_id", "i", "j"])
-    box = inside.groupBy("doc_id", "component").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.count("*").alias("n"), F.avg(F.col("is_text").cast("double")).alias("texts"))
+    left = cut(residual(points, frames).select("doc_id", "x", "y", "is_text"))
+    count = left.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    edge = bounds.quantiles(left, CLIP, 1 - CLIP).join(count, "doc_id")
+    inside = (F.col("__n") < 4) | (F.col("x").between(F.col("low_x"), F.col("high_x")) & F.col("y").between(F.col("low_y"), F.col("high_y")))
+    clipped = left.join(edge, "doc_id").where(inside).select(left.columns)
+    pts, coarse = _clusters(clipped, ["doc_id"], COARSE)
+    _, fine = _clusters(pts.withColumnRenamed("component", "part"), ["doc_id", "part"], FINE, CELL)
+    split = fine.groupBy("doc_id", "part").count().where(F.col("count") > 1).select("doc_id", "part")
+    whole = coarse.withColumnRenamed("component", "part").join(split, ["doc_id", "part"], "left_anti").withColumn("component", F.lit(0))
+    units = cut(merged(fine.join(split, ["doc_id", "part"], "left_semi"), ["doc_id", "part"]))
+    wordy = F.col("texts") >= MIN_TEXT * F.col("dots")
+    block = units.where(~wordy).groupBy("doc_id", "part").agg(*[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in _SIDES], F.sum("dots").alias("dots"), F.sum("texts").alias("texts")).withColumn("component", F.lit(FINE * FINE))
+    finals = whole.unionByName(units.where(wordy)).unionByName(block.where(F.col("dots") >= MIN_DOTS))
+    finals = finals.join(coarse.select("doc_id", F.col("component").alias("part"), F.col("dots").alias("__of")), ["doc_id", "part"])
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
-    good = box.where((F.col("texts") >= MIN_TEXT) & (area > 0) & (F.col("n") >= MIN_DENSITY * area))
-    top = good.withColumn("sheet_index", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "component"))).where(F.col("sheet_index") <= MOST)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("dots"), F.desc("__of"), "part", "component")
+    top = finals.where((area > 0) & (F.col("dots") >= MIN_DENSITY * area)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST)
+    f = frames.select(F.col("doc_id").alias("__doc"), *[F.col(c).alias(f"f_{c}") for c in _SIDES])
+    over = overlap_area({c: F.col(c) for c in _SIDES}, {c: F.col(f"f_{c}") for c in _SIDES})
+    free = top.join(f, (F.col("doc_id") == F.col("__doc")) & (over > MAX_OVERLAP * area), "left_anti")
     dx, dy = (F.col("max_x") - F.col("min_x")) * MARGIN, (F.col("max_y") - F.col("min_y")) * MARGIN
-    boxes = top.select("doc_id", "sheet_index", F.concat(F.lit("图 "), F.col("sheet_index")).alias("name"), (F.col("min_x") - dx).alias("min_x"), (F.col("min_y") - dy).alias("min_y"), (F.col("max_x") + dx).alias("max_x"), (F.col("max_y") + dy).alias("max_y"))
-    return without_overlaps(boxes)
+    numbered = free.withColumn("sheet_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
+    boxes = cut(numbered.select("doc_id", "sheet_index", (F.col("min_x") - dx).alias("min_x"), (F.col("min_y") - dy).alias("min_y"), (F.col("max_x") + dx).alias("max_x"), (F.col("max_y") + dy).alias("max_y")))
+    names = residual_titles(boxes, texts) if texts is not None else boxes.select("doc_id", "sheet_index", F.lit(None).cast("string").alias("title"))
+    named = boxes.join(names, ["doc_id", "sheet_index"], "left").withColumn("name", F.coalesce("title", F.concat(F.lit("补充区域 "), F.col("sheet_index"))))
+    return named.select("doc_id", "sheet_index", "name", *_SIDES)
+
+
+def residual_titles(boxes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, sheet_index, title): of the readable texts of at least nine tenths of the greatest height the one closest
+    to the vertical middle line."""
+    hit = _hits(texts.where(is_readable(F.col("text"))).select("doc_id", "handle", "x", "y", "text", "height"), boxes)
+    of = Window.partitionBy("doc_id", "sheet_index")
+    tall = hit.withColumn("__top", F.max("height").over(of)).where(F.col("height") >= 0.9 * F.col("__top"))
+    far = F.abs(F.col("x") - (F.col("min_x") + F.col("max_x")) / 2)
+    return tall.withColumn("__k", F.row_number().over(of.orderBy(far, "handle"))).where("__k = 1").select("doc_id", "sheet_index", F.trim("text").alias("title"))
+
+
+def planned_widths(texts: DataFrame, boxes: DataFrame, widths: DataFrame) -> DataFrame:
+    """(doc_id, sheet_index, width, pass_rate, rerenders): each sheet's width doubled while too few of its texts are
+    readable and neither width nor pixels pass their limit; found without rendering, as the share follows from heights."""
+    hit = _hits(texts.select("doc_id", "handle", "x", "y", "height"), boxes)
+    sheet = boxes.join(widths, ["doc_id", "sheet_index"]).select("doc_id", "sheet_index", F.col("width").alias("w0"), (F.col("max_x") - F.col("min_x")).alias("__w"), (F.col("max_y") - F.col("min_y")).alias("__h"))
+    steps = sheet.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("width", F.col("w0") * F.pow(F.lit(2), "k").cast("int"))
+    allowed = (F.col("k") == 0) | ((F.col("width") <= 2 * HARD_WIDTH - 1) & (F.col("w0") * F.pow(F.lit(2), F.col("k") - 1) < HARD_WIDTH) & (F.col("width") * F.floor(F.col("width") * F.col("__h") / F.col("__w")) <= MAX_PIXELS))
+    rate = F.avg(F.when(F.col("height") * F.col("width") / F.col("__w") >= MIN_PIXELS, 1.0).otherwise(0.0))
+    rated = steps.where(allowed).join(hit.select("doc_id", "sheet_index", "height"), ["doc_id", "sheet_index"]).groupBy("doc_id", "sheet_index", "k", "width").agg(rate.alias("pass_rate"))
+    enough = F.min(F.when(F.col("pass_rate") >= MIN_PASS, F.col("k"))).over(Window.partitionBy("doc_id", "sheet_index"))
+    last = F.max("k").over(Window.partitionBy("doc_id", "sheet_index"))
+    return rated.withColumn("__k", F.coalesce(enough, last)).where("k = __k").select("doc_id", "sheet_index", "width", "pass_rate", F.col("k").alias("rerenders"))
 
 
 def titles(boxes: DataFrame, texts: DataFrame) -> DataFrame:

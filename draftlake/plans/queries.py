@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry, text
-from ..operators import bounds, expand, resolve, sheets
+from ..operators import bounds, expand, resolve, sheets, tessellate
+from ..sinks import dump, svg
+from ..sources import dxf
 from .adapters import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,7 +298,7 @@ def overlap_pairs(t: Tables) -> DataFrame:
     return sheets.overlaps(t.sheets()).select("doc_id", "a", "b", "area")
 
 
-@query("SELECT a.doc_id, a.sheet_index AS a, b.sheet_index AS b, greatest(a.min_x - b.max_x, b.min_x - a.max_x, a.min_y - b.max_y, b.min_y - a.max_y, 0) AS gap FROM sheets a JOIN sheets b ON a.doc_id = b.doc_id AND a.sheet_index < b.sheet_index", "sheets")
+@query("SELECT a.doc_id, a.sheet_index AS a, b.sheet_index AS b, sqrt(greatest(a.min_x - b.max_x, b.min_x - a.max_x, 0) ** 2 + greatest(a.min_y - b.max_y, b.min_y - a.max_y, 0) ** 2) AS gap FROM sheets a JOIN sheets b ON a.doc_id = b.doc_id AND a.sheet_index < b.sheet_index", "sheets")
 def box_gap(t: Tables) -> DataFrame:
     return sheets.gaps(t.sheets()).select("doc_id", "a", "b", "gap")
 
@@ -336,11 +338,107 @@ def name_handles(t: Tables) -> DataFrame:
     return resolve.named_handles(names, known)
 
 
-@query("SELECT page_id, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_pairs FROM (SELECT page_id, r, count(*) AS n FROM (SELECT page_id, i, sum(CASE WHEN i % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS r FROM (SELECT page_id, unnest(range(len(string_split(html, '<')))) AS i FROM pages)) GROUP BY 1, 2) GROUP BY 1")
+def _dxf(t: Tables) -> DataFrame:
+    """DXF text a region: a block of lines of its suppliers, placed once a nation."""
+    pair = lambda *items: "concat_ws('\\n', " + ", ".join(f"'{c}', {v}" for c, v in items) + ")"
+    line = pair((0, "'LINE'"), (8, "'L'"), (10, "CAST(s_acctbal AS STRING)"), (20, "'0'"), (11, "CAST(s_acctbal + 10 AS STRING)"), (21, "'5'"))
+    ins = pair((0, "'INSERT'"), (5, "hex(n_nationkey + 1)"), (2, "'B'"), (10, "CAST(n_nationkey * 1000 AS STRING)"), (20, "'0'"), (41, "'2'"), (42, "'2'"))
+    lines = t("supplier").join(t("nation"), F.expr("s_nationkey = n_nationkey")).groupBy("n_regionkey").agg(F.expr(f"array_join(array_sort(collect_list({line})), '\\n')").alias("lines"))
+    places = t("nation").groupBy("n_regionkey").agg(F.expr(f"array_join(array_sort(collect_list({ins})), '\\n')").alias("places"))
+    head, mid, end = ("'0\\nSECTION\\n2\\nBLOCKS\\n0\\nBLOCK\\n2\\nB'", "'0\\nENDBLK\\n0\\nENDSEC\\n0\\nSECTION\\n2\\nENTITIES'", "'0\\nENDSEC\\n0\\nEOF'")
+    return lines.join(places, "n_regionkey").selectExpr("CAST(n_regionkey AS STRING) AS doc_id", f"concat_ws('\\n', {head}, lines, {mid}, places, {end}) AS value")
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, type_name, count(*) AS n_records, CAST(sum(k) AS BIGINT) AS n_pairs FROM (SELECT n_regionkey, 'LINE' AS type_name, 6 AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  UNION ALL SELECT n_regionkey, 'INSERT', 7 FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)) GROUP BY ALL""")
 def record_segments(t: Tables) -> DataFrame:
-    p = t("pages").select("page_id", F.posexplode(F.split("html", "<")).alias("i", "x"))
-    r = p.withColumn("r", F.sum((F.col("i") % 4 == 0).cast("int")).over(Window.partitionBy("page_id").orderBy("i")))
-    return r.groupBy("page_id", "r").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_pairs"))
+    r = dxf.records(dxf.pairs(_dxf(t))).where("type_name IN ('LINE', 'INSERT')")
+    return r.groupBy("doc_id", "type_name").agg(F.count("*").alias("n_records"), F.sum(F.size("pairs").cast("bigint")).alias("n_pairs"))
+
+
+@query("""SELECT CAST(a.n_regionkey AS VARCHAR) AS doc_id, b.n_nationkey + 1 AS place, round(2 * s_acctbal + 1000 * b.n_nationkey, 4) AS x1, round(2 * (s_acctbal + 10) + 1000 * b.n_nationkey, 4) AS x2, 10.0 AS y2
+  FROM supplier JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_regionkey = a.n_regionkey""")
+def dxf_insert_expand(t: Tables) -> DataFrame:
+    """From DXF text to world coordinates: pairs, records, blocks by name, inserts, strokes."""
+    e = dxf.resolved(dxf.records(dxf.pairs(_dxf(t))))
+    leaves, ins = tessellate.parts(e)
+    seq = ins.select("doc_id", "seq", F.col("handle").alias("place"))
+    p = expand.primitives(leaves, ins).select("doc_id", F.col("order")[0].alias("seq"), F.col("strokes")[0].alias("s")).join(seq, ["doc_id", "seq"])
+    return rounded(p.select("doc_id", "place", "s.x1", "s.x2", "s.y2"), "x1", "x2", places=4)
+
+
+@query("""SELECT s_suppkey, i, round(3 * cos(2 * pi() * i / 96) - 4 * 0.5 * sin(2 * pi() * i / 96) + s_nationkey, 5) + 0.0 AS x1, round(4 * cos(2 * pi() * i / 96) + 3 * 0.5 * sin(2 * pi() * i / 96), 5) + 0.0 AS y1 FROM (SELECT *, unnest(range(96)) AS i FROM supplier)""")
+def tess_ellipse(t: Tables) -> DataFrame:
+    one = lambda v: F.lit(float(v))
+    s = t("supplier").select("s_suppkey", F.posexplode(geometry.ellipse_strokes(F.col("s_nationkey"), one(0), one(3), one(4), one(0.5), one(0), one(0))).alias("i", "s"))
+    return s.select("s_suppkey", F.col("i").cast("bigint").alias("i"), (F.round("s.x1", 5) + 0.0).alias("x1"), (F.round("s.y1", 5) + 0.0).alias("y1"))
+
+
+@query("""SELECT s_suppkey, CAST(CASE WHEN b = 0 THEN 1 ELSE least(floor(abs(4 * atan(b)) / (pi() / 60)) + 1, 720) END AS BIGINT) AS n, CASE WHEN b = 0 THEN 2 * s_nationkey + 2.0 ELSE round((s_nationkey + 1) * (1 + b * b) / (2 * abs(b)) * 4 * abs(atan(b)), 1) END AS arc_length
+  FROM (SELECT *, s_suppkey % 5 / 4.0 AS b FROM supplier)""")
+def tess_bulge(t: Tables) -> DataFrame:
+    """One arc segment over a chord of 2 (nationkey + 1): steps, and the length of its arc from its radius and sweep."""
+    c = F.col("s_nationkey") + 1.0
+    pts = F.array(geometry.point(-c, F.lit(0)), geometry.point(c, F.lit(0)))
+    s = t("supplier").select("s_suppkey", (2 * c).alias("chord"), (F.col("s_suppkey") % 5 / 4.0).alias("b"), geometry.bulge_strokes(pts, F.array(F.col("s_suppkey") % 5 / 4.0, F.lit(0.0)), F.lit(False)).alias("s"))
+    n, length = F.size("s"), F.aggregate("s", F.lit(0.0), lambda a, x: a + F.hypot(x["x2"] - x["x1"], x["y2"] - x["y1"]))
+    step = 4 * F.atan("b") / n  # a polygon's length over its arc's is sin(step / 2) / (step / 2)
+    return s.select("s_suppkey", n.cast("bigint").alias("n"), F.when(F.col("b") == 0, length).otherwise(F.round(length * (step / 2) / F.sin(step / 2), 1)).alias("arc_length"))
+
+
+@query("SELECT doc_id, owner, CAST(CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS BIGINT) AS n, round(CASE WHEN count(*) > 1 THEN sum(x) ELSE 0 END, 4) AS sum_x1 FROM vertices GROUP BY 1, 2", "vertices")
+def hatch_paths(t: Tables) -> DataFrame:
+    """A hatch an order, its vertices one closed loop."""
+    p = resolve.polyline_points(t.vertices(), "l_linenumber", "l_partkey", "l_suppkey")
+    loop = F.array(F.struct(F.col("points"), F.array().cast("array<double>").alias("bulges")))
+    e = p.select("doc_id", "owner", F.lit("HATCH").alias("type_name"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("points"), loop.alias("paths"), *[F.lit(None).cast("double").alias(c) for c in ("radius", "a0", "a1")], F.lit(None).cast("array<double>").alias("bulges"), F.lit(False).alias("closed"))
+    s = tessellate.complete(e).select("doc_id", "owner", tessellate.local_strokes().alias("s"))
+    return s.select("doc_id", "owner", F.size("s").cast("bigint").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["x1"]), 4).alias("sum_x1"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 20 < 10 THEN 'fixed' || event_id % 20 WHEN event_id % 20 < 15 THEN 'class' || event_id % 20 END AS type_name FROM events")
+def type_names(t: Tables) -> DataFrame:
+    rows = t("events").selectExpr("'D' AS doc_id", "event_id", "event_id % 20 AS type_code")
+    codes = t.spark.range(20).selectExpr("'D' AS doc_id", "id AS type_code")
+    own = codes.where("type_code < 15").selectExpr("doc_id", "type_code", "concat('class', type_code) AS name")
+    return resolve.with_type_name(rows, codes.where("type_code < 10").selectExpr("type_code", "concat('fixed', type_code) AS name"), own).select("event_id", "type_name")
+
+
+@query(r"""SELECT p_partkey, CAST(4 * len(regexp_extract_all(n, '[A-Z0-9]')) + 2 * len(regexp_extract_all(n, '[_$*]')) + len(regexp_extract_all(n, '[a-z]')) - 12 * len(regexp_extract_all(n, '[\x00-\x1F]')) - 4 * len(regexp_extract_all(n, '[^A-Za-z0-9_$*\x00-\x1F]')) AS INT) AS score
+  FROM (SELECT p_partkey, p_type || CASE WHEN p_partkey % 3 = 0 THEN '_$*' || chr(9) ELSE '' END AS n FROM part)""")
+def class_name_scores(t: Tables) -> DataFrame:
+    name = F.concat("p_type", F.when(F.col("p_partkey") % 3 == 0, "_$*\t").otherwise(""))
+    return t("part").select("p_partkey", text.class_name_score(name).alias("score"))
+
+
+@query("""SELECT o_orderkey, o_custkey % 4 = 0 AND o_orderkey % 2 = 0 AND NOT (abs(a) <= pi() / 12 OR abs(a - pi()) <= pi() / 12) AS hookline FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN pi() / 2 ELSE atan2(CAST(o_orderkey % 7 - 3 AS DOUBLE), CAST(o_custkey % 5 - 2 AS DOUBLE)) END AS a FROM orders)""")
+def hookline(t: Tables) -> DataFrame:
+    zero = geometry.point(F.lit(0), F.lit(0))
+    leg = geometry.point(F.col("o_custkey") % 5 - 2, F.col("o_orderkey") % 7 - 3)
+    pts = F.when(F.col("o_orderkey") % 3 == 0, F.array(leg, zero)).otherwise(F.array(zero, leg, zero))
+    return t("orders").select("o_orderkey", geometry.hookline_on(F.col("o_custkey") % 4, F.col("o_orderkey") % 2, pts).alias("hookline"))
+
+
+@query("""SELECT doc_id, rgb, layer, row_number() OVER (PARTITION BY doc_id ORDER BY min(f)) AS place, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, rgb, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY f) <= 200 THEN layer END AS layer, f, n
+  FROM (SELECT doc_id, color_index AS rgb, layer, min(handle) AS f, count(*) AS n FROM points GROUP BY ALL)) GROUP BY doc_id, rgb, layer""", "points")
+def svg_groups(t: Tables) -> DataFrame:
+    p = t.points().select("doc_id", F.col("color_index").alias("rgb"), "layer", F.array("handle").alias("order"))
+    return svg.groups(p).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("SELECT event_id, '$.' || key AS path, props ->> ('$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) WHERE (props ->> ('$.' || key)) IS NOT NULL")
+def props_flatten(t: Tables) -> DataFrame:
+    rows = t("events").select("event_id", F.try_parse_json("props").alias("v"))
+    flat = dump.flatten(rows, "event_id")
+    return flat.select("event_id", F.concat(F.lit("$."), "path").alias("path"), "value")
+
+
+@query("""SELECT doc_id, sheet_index, CAST(4096 * 2 ** k AS INT) AS width, pass_rate, CAST(k AS INT) AS rerenders FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sheet_index ORDER BY CASE WHEN pass_rate >= 0.6 THEN 0 ELSE 1 END, CASE WHEN pass_rate >= 0.6 THEN k ELSE -k END) AS r FROM (
+  SELECT s.doc_id, s.sheet_index, k, avg(CASE WHEN height * (4096 * 2 ** k) / (max_x - min_x) >= 8 THEN 1.0 ELSE 0.0 END) AS pass_rate FROM sheets s, range(4) r(k), points p
+  WHERE p.doc_id = s.doc_id AND x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y AND (4096 * 2 ** k) * floor(4096 * 2 ** k * (max_y - min_y) / (max_x - min_x)) <= 4e8 GROUP BY ALL)) WHERE r = 1""", "points", "sheets")
+def rerender_plan(t: Tables) -> DataFrame:
+    widths = t.sheets().select("doc_id", "sheet_index", F.lit(4096).alias("width"))
+    return sheets.planned_widths(t.points(), t.sheets(), widths)
 
 
 _WIDER = "CASE WHEN sheet_index % 3 = 0 THEN max_x + 40000 ELSE max_x END"
@@ -384,7 +482,7 @@ SELECT c.doc_id, c.i, c.j, c.n, CAST(dense_rank() OVER (PARTITION BY c.doc_id OR
 
 @query()
 def sheet_detect(t: Tables) -> DataFrame:
-    return sheets.residual_sheets(t.points().withColumn("is_text", F.lit(True)), t.sheets().where("sheet_index % 2 = 0"))
+    return sheets.residual_sheets(t.points().withColumn("is_text", F.lit(True)), t.sheets().where("sheet_index = 1"), t.points())
 
 
 @query()

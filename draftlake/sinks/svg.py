@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
@@ -32,3 +32,17 @@ def render(prims: DataFrame, boxes: DataFrame, width: int = 2048) -> DataFrame:
     out = items.groupBy("doc_id", "sheet_index").agg(body.alias("body"), F.first("h").alias("h"))
     head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d" viewBox="0 0 %d %d">', F.lit(width), "h", F.lit(width), "h")
     return out.select("doc_id", "sheet_index", F.concat_ws("\n", head, F.col("body"), F.lit("</svg>")).alias("svg"))
+
+
+#: Groups of one colour and layer a drawing; beyond, a group is a colour.
+MAX_GROUPS = 200
+
+
+def groups(prims: DataFrame, most: int = MAX_GROUPS) -> DataFrame:
+    """(doc_id, rgb, layer, place): colour and layer groups in order of first appearance; those beyond ``most`` fall
+    together by colour, with a null layer. Primitives are counted to groups before any window."""
+    first = prims.groupBy("doc_id", "rgb", "layer").agg(F.min("order").alias("first"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
+    ranked = first.withColumn("layer", F.when(place <= most, F.struct(F.col("layer").alias("name"))))
+    again = ranked.groupBy("doc_id", "rgb", "layer").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    return again.select("doc_id", "rgb", F.col("layer.name").alias("layer"), F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("place"), "n")

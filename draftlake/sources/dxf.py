@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import codepage, dxf_unquote, version_name
+from ..functions.text import codepage, decode_codepage, dxf_unquote, version_name
 from ..operators.resolve import carried_host, named_handles
 
 FIRST_HANDLE = 0x100000
@@ -19,6 +19,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc_id"), "value")
 
 
+def read_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, value) of files whose text is in the code page that their header names; from R2007 on it is UTF-8."""
+    raw = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content")
+    head = F.decode("content", "ISO-8859-1")
+    version = F.regexp_extract(head, r"\$ACADVER\s+1\s+(AC\d+)", 1)
+    page = codepage(F.regexp_extract(head, r"\$DWGCODEPAGE\s+3\s+(\S+)", 1))
+    return raw.select("doc_id", decode_codepage("content", F.when(version >= "AC1021", F.lit(0)).otherwise(page)).alias("value"))
+
+
 def pairs(raw: DataFrame) -> DataFrame:
     """(doc_id, idx, code, raw) from rows (doc_id, value); a code that isn't a number ends nothing and is left out."""
     lines = raw.select("doc_id", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("n", "line"))

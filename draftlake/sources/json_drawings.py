@@ -132,3 +132,16 @@ def dictionaries(docs: DataFrame) -> DataFrame:
     rows = objects(docs).where("kind = 'object' AND type_name = 'DICTIONARY'")
     items = rows.select("doc_id", F.col("handle").alias("dict_handle"), F.map_entries(get(F.col("o"), "$.items", "map<string,array<bigint>>")).alias("m"))
     return items.select("doc_id", "dict_handle", F.posexplode("m").alias("pos", "e")).select("doc_id", "dict_handle", "pos", F.col("e.key").alias("key"), F.element_at("e.value", -1).alias("item_handle"))
+
+
+def decode_errors(docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, reason): what reading skips: whole files, and members without a type or a handle."""
+    files = drawings(docs).where("error IS NOT NULL").select("doc_id", F.lit(None).cast("int").alias("seq"), F.col("error").alias("reason"))
+    o = objects(docs)
+    members = o.select("doc_id", "seq", F.when(F.col("type_name").isNull(), "no type").when(F.col("handle").isNull(), "no handle").alias("reason"))
+    return files.unionByName(members.where("reason IS NOT NULL"))
+
+
+def skipped(docs: DataFrame) -> DataFrame:
+    """(doc_id, reason, n)."""
+    return decode_errors(docs).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
