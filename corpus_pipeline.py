@@ -2,6 +2,11 @@
 
 Rejected documents go, of each group of near-duplicates the one with the smallest id stays, passages of ``benchmark``
 and secrets are taken out of the texts, and what is left is encoded.
+
+Defined results: a null or empty text is left alone by every stage but the first, which judges it like any other, and
+encodes to no ids; rows without doc_id go through all stages, and near copies among them leave one; of repeated rows of
+one doc_id one stays; ties go to the smallest doc_id; an empty table gives an empty result with the same columns;
+extra columns, of any name, are kept up to the encoding.
 """
 
 from __future__ import annotations
