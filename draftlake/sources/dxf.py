@@ -75,6 +75,13 @@ def numbers_of(p: Column, code: int) -> Column:
     return F.transform(all_of(p, code), lambda x: F.trim(x).try_cast("double"))
 
 
+def bulges_of(p: Column) -> Column:
+    """One bulge a point: the code 42 between its code 10 and the next, else 0."""
+    starts = F.filter(F.transform(p, lambda x, i: F.when(x["code"] == 10, i)), lambda i: i.isNotNull())
+    own = lambda i, k: F.slice(p, i + 1, F.coalesce(F.get(starts, k + 1), F.size(p)) - i)
+    return F.transform(starts, lambda i, k: F.coalesce(number_of(own(i, k), 42), F.lit(0.0)))
+
+
 def hatch_paths(p: Column) -> Column:
     """Boundary loops: each opens with code 92. Polyline loops keep their bulges, edge loops the starts of their lines."""
     starts = F.filter(F.transform(p, lambda x, i: F.when(x["code"] == 92, i)), lambda i: i.isNotNull())
@@ -138,7 +145,7 @@ def entities(r: DataFrame) -> DataFrame:
         F.when(model, "model").otherwise("block").alias("space"), F.when(~model, F.col("block")).alias("in_block"), handle_of(p, 330).alias("owner_handle"),
         F.coalesce(F.nullif(text_of(p, 8), F.lit("")), F.lit("0")).alias("layer_name"), F.coalesce(int_of(p, 62), F.lit(256)).alias("color_index"), int_of(p, 420).cast("bigint").alias("true_color"),
         points.alias("points"), number_of(p, 40).alias("radius"),
-        F.when(kind == "ELLIPSE", number_of(p, 41)).otherwise(angle(50)).alias("a0"), F.when(kind == "ELLIPSE", number_of(p, 42)).otherwise(angle(51)).alias("a1"), F.transform(all_of(p, 42), lambda x: F.trim(x).try_cast("double")).alias("bulges"), (F.coalesce(int_of(p, 70), F.lit(0)).bitwiseAND(1) != 0).alias("closed"),
+        F.when(kind == "ELLIPSE", number_of(p, 41)).otherwise(angle(50)).alias("a0"), F.when(kind == "ELLIPSE", number_of(p, 42)).otherwise(angle(51)).alias("a1"), F.when(kind == "LWPOLYLINE", bulges_of(p)).alias("bulges"), (F.coalesce(int_of(p, 70), F.lit(0)).bitwiseAND(1) != 0).alias("closed"),
         dxf_unquote(F.when(F.col("type_name") == "MTEXT", mtext).otherwise(text_of(p, 1))).alias("text"), F.when(F.col("type_name").isin("ATTRIB", "ATTDEF"), text_of(p, 2)).alias("tag"),
         F.when(F.col("type_name").isin("TEXT", "MTEXT", "ATTRIB", "ATTDEF"), number_of(p, 40)).alias("height"), F.coalesce(angle(50), F.lit(0.0)).alias("rotation"),
         F.when(F.col("type_name").isin("INSERT", "DIMENSION"), text_of(p, 2)).alias("block_name"), F.coalesce(number_of(p, 41), F.lit(1.0)).alias("sx"), F.coalesce(number_of(p, 42), F.lit(1.0)).alias("sy"),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftlake.operators import bounds, tessellate
+from draftlake.sinks import dxf as dxf_sink
 from draftlake.sources import dxf, json_drawings
 
 
@@ -91,3 +92,34 @@ def test_dxf_to_strokes(spark):
     assert sorted((x["type_name"], x["n"]) for x in prims) == [("ELLIPSE", 96), ("HATCH", 3), ("LINE", 1), ("POLYLINE_2D", 3), ("SOLID", 4), ("SPLINE", 16)]
     line = next(x["strokes"][0] for x in prims if x["type_name"] == "LINE")
     assert (line["x1"], line["x2"]) == (100.0, 102.0)
+
+
+def test_json_to_dxf_and_back(spark):
+    """Strokes of a drawing written as DXF and read again."""
+    e = json_drawings.entities(drawing(
+        spark,
+        {"entity": "ELLIPSE", "center": [1, 2, 0], "sm_axis": [4, 0, 0], "axis_ratio": 0.5, "start_angle": 0, "end_angle": 2},
+        {"entity": "SPLINE", "degree": 2, "knots": [0, 0, 0, 1, 1, 1], "control_points": [[0, 0, 0], [1, 2, 0], [2, 0, 0]]},
+        {"entity": "SPLINE", "fit_pts": [[0, 0, 0], [1, 1, 0], [2, 0, 0]]},
+        {"entity": "HATCH", "paths": [{"polyline_paths": [{"point": [0, 0]}, {"point": [1, 0]}, {"point": [1, 1]}]}, {"polyline_paths": [{"point": [0, 0], "bulge": 1}, {"point": [2, 0], "bulge": 1}]}]},
+        {"entity": "XLINE", "point": [0, 0, 0], "vector": [1, 0, 0]},
+        {"entity": "LWPOLYLINE", "points": [[0, 0], [2, 0], [2, 2]], "bulges": [0.5, 0, 0], "flag": 512},
+        {"entity": "LEADER", "points": [[0, 0, 0], [3, 4, 0], [5, 4, 0]]},
+        {"entity": "SOLID", "corner1": [0, 0], "corner2": [1, 0], "corner3": [1, 1], "corner4": [0, 1]},
+        {"entity": "POLYLINE_2D", "flag": 1},
+        *({"entity": "VERTEX_2D", "ownerhandle": h(9), "entmode": 0, "point": p, "bulge": 0.25} for p in ([0, 0], [5, 0], [5, 5])),
+        {"entity": "DIMENSION_LINEAR", "def_pt": [0, 0, 0], "xline1_pt": [1, 0, 0], "xline2_pt": [2, 0, 0], "text_midpt": [3, 1]},
+    ))
+    rows = e.withColumns({"layer_name": F.lit("L"), "block_name": F.lit(None).cast("string"), "in_block": F.lit(None).cast("string")})
+    text = dxf_sink.write(rows, spark.createDataFrame([], "doc_id string, name string, aci int"))
+    back = dxf.resolved(dxf.records(dxf.pairs(text.select("doc_id", F.col("dxf").alias("value")))))
+    rounded = lambda ss: {k: [tuple(round(v, 6) for v in s) for s in v] for k, v in ss.items()}
+    got, want = rounded(strokes(back)), rounded(strokes(e))
+    assert got == want and len(want) == 10
+    assert "$EXTMIN" in text.first()["dxf"]
+
+
+def test_dxf_bulges_belong_to_their_points(spark):
+    text = pairs((0, "SECTION"), (2, "ENTITIES"), (0, "LWPOLYLINE"), (90, 3), (10, 0), (20, 0), (10, 1), (20, 0), (42, 0.5), (10, 2), (20, 0), (0, "ENDSEC"))
+    e = dxf.entities(dxf.records(dxf.pairs(spark.createDataFrame([("d", text)], "doc_id string, value string")))).first()
+    assert e["bulges"] == [0.0, 0.5, 0.0] and len(e["points"]) == 3
