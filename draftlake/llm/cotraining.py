@@ -1,17 +1,20 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
 Two logistic models see the same documents: one their words and the shape of the text, the other their source,
-language and length. Over some rounds each labels pool documents it is sure of for the other; then each view's logit
-is calibrated on labelled documents left out of training, the calibrated views are combined, and every document is
-scored. This is done for two targets, low quality and toxicity; a document is kept if it is neither.
+language and length. Over some rounds each view judges every document outside the labelled sample and hands the
+PER_ROUND it is surest of, for each class, to the other view as if they were labelled; then each view's logit is
+calibrated on labelled documents left out of training, the calibrated views are combined, and every document is scored.
+This is done for two targets, low quality and toxicity; a document is kept if it is neither.
 
-Training uses bounded samples, drawn by hash of the id: MAX_LABELLED labelled documents, a pool of MAX_POOL others, a
-vocabulary of the MAX_WORDS words that stand in MIN_DOCS of them or more and whose shares differ most between the
-classes of either target, over the labelled documents of training. Scoring reads every whole text.
+Labelled rows are a bounded sample drawn by hash of the id, MAX_LABELLED; the vocabulary is the MAX_WORDS words that
+stand in MIN_DOCS of them or more and whose shares differ most between the classes of either target, over the labelled
+documents of training. The unlabelled side is all other documents: their features are written once and every round
+judges all of them; only the chosen ones come to the driver, four times PER_ROUND a target and round. Equal confidence
+is ordered by a hash of the id. Scoring reads every whole text.
 
 Defined results: a null or empty text has no words and is scored by its shape and metadata; null metadata is a value of
-its own; repeated rows each get a score; repeated labels of a document count as one, low quality and toxic winning;
-null labels are left out; without labels of both classes a target's probability is the share seen, or 0, so that
+its own; repeated rows each get a score and are handed over once; rows without doc_id are scored but not learnt from;
+repeated labels of a document count as one, low quality and toxic winning; null labels are left out; without labels of both classes a target's probability is the share seen, or 0, so that
 nothing is rejected without evidence; an empty table gives an empty result; extra columns are ignored by ``score`` and
 kept by ``keep``.
 """
@@ -24,13 +27,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, table, written
 
-MAX_LABELLED, MAX_POOL, MAX_WORDS, MIN_DOCS = 6000, 3000, 40_000, 4
-ROUNDS, SURE, PER_ROUND = 3, 0.97, 0.1
+MAX_LABELLED, MAX_WORDS, MIN_DOCS = 6000, 40_000, 4
+#: Rounds; confidence from which a view hands a document over; how many a round, view and class.
+ROUNDS, SURE, PER_ROUND = 3, 0.97, 300
 #: Share of the labelled sample kept out of training, for calibration.
 HELD_OUT = 0.25
 META_SLOTS = 512
@@ -81,12 +85,6 @@ class Sparse:
     dense: np.ndarray
     width: int
 
-    def rows(self, keep: np.ndarray) -> Sparse:
-        to = np.full(len(self.dense), -1)
-        to[keep] = np.arange(len(keep))
-        on = to[self.at] >= 0
-        return Sparse(to[self.at[on]], self.slot[on], self.dense[keep], self.width)
-
     def logits(self, m: Logistic) -> np.ndarray:
         return np.bincount(self.at, m.w[self.slot], len(self.dense)) + ((self.dense - m.mean) / m.scale) @ m.v + m.bias
 
@@ -151,38 +149,91 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return c
 
 
-def cotrain(text: Sparse, metas: Sparse, y: np.ndarray, held: np.ndarray) -> Target:
-    """y: 1, 0, or -1 for the pool; held: labelled rows for calibration only."""
-    pool = np.flatnonzero(y < 0)
-    sets = [{int(i): float(y[i]) for i in np.flatnonzero((y >= 0) & ~held)} for _ in range(2)]
-    views = (text, metas)
-
-    def fit(k: int) -> Logistic:
-        rows = np.array(sorted(sets[k]), int)
-        return Logistic.fit(views[k].rows(rows), np.array([sets[k][i] for i in rows]))
-
-    cal = np.flatnonzero(held & (y >= 0))
-    for _ in range(ROUNDS):
-        models = [fit(0), fit(1)]
-        before = len(sets[0]) + len(sets[1])
-        for k in range(2):
-            z = views[k].logits(models[k])
-            p = _sigmoid(np.column_stack((z, np.ones(len(z)))) @ _calibrate(z[cal][:, None], y[cal]))
-            left = pool[[i not in sets[1 - k] for i in pool.tolist()]] if len(pool) else pool
-            for label, order in ((1.0, left[np.argsort(-p[left], kind="stable")]), (0.0, left[np.argsort(p[left], kind="stable")])):
-                sure = order[(p[order] >= SURE) if label else (p[order] <= 1 - SURE)][: int(PER_ROUND * len(pool))]
-                for i in sure.tolist():
-                    sets[1 - k].setdefault(i, label)
-        if len(sets[0]) + len(sets[1]) == before:
-            break
-    out = Target(fit(0), fit(1))
-    if len(cal) and 0 < y[cal].sum() < len(cal):
-        out.mix = _calibrate(np.column_stack((text.logits(out.text)[cal], metas.logits(out.meta)[cal])), y[cal])
-    else:
-        seen = y[y >= 0]
-        share = min(float(seen.mean()) if len(seen) else 0.0, 1 - 1e-6)
-        out.mix = np.array([0.0, 0.0, math.log((share + 1e-9) / (1 - share))])
-    return out
+def _views(counts: tuple, values: tuple, dense: np.ndarray, words: int) -> tuple[Sparse, Sparse]:
+    """Both views of some documents, from the lengths of their slot lists and these lists end to end."""
+    n = len(dense)
+    text, metas = (np.repeat(np.arange(n), c) for c in counts)
+    return Sparse(text, values[0], dense, max(1, words)), Sparse(metas, values[1], np.zeros((n, 0)), META_SLOTS)
+
+
+def _views_of(rows: list[Row], words: int) -> tuple[Sparse, Sparse]:
+    counts, values = zip(*[(np.array([len(r[c]) for r in rows], int), np.fromiter((i for r in rows for i in r[c]), int)) for c in ("slots", "metas")])
+    return _views(counts, values, np.array([r["dense"] for r in rows]).reshape(len(rows), _SHAPE), words)
+
+
+class Learner:
+    """One target: labelled documents with their labels, and per view the documents that the other view handed over."""
+
+    def __init__(self, rows: list[Row], y: np.ndarray, words: int):
+        held = np.array([_held(r["key"]) for r in rows], bool)
+        self.learnt, self.learnt_y = [r for r, h in zip(rows, held) if not h], y[~held]
+        self.cal_y, self.labelled_y, self.words = y[held], y, words
+        self.cal = _views_of([r for r, h in zip(rows, held) if h], words)
+        self.given: tuple[dict[int, tuple[float, Row]], ...] = ({}, {})
+
+    def fit(self, view: int) -> Logistic:
+        more = [self.given[view][i] for i in sorted(self.given[view])]
+        x = _views_of(self.learnt + [r for _, r in more], self.words)[view]
+        return Logistic.fit(x, np.r_[self.learnt_y, [label for label, _ in more]])
+
+    def judge(self, view: int) -> tuple[Logistic, np.ndarray]:
+        """The view's model and the calibration of its logit."""
+        model = self.fit(view)
+        return model, _calibrate(self.cal[view].logits(model)[:, None], self.cal_y)
+
+    def target(self) -> Target:
+        out = Target(self.fit(0), self.fit(1))
+        if 0 < self.cal_y.sum() < len(self.cal_y):
+            out.mix = _calibrate(np.column_stack((self.cal[0].logits(out.text), self.cal[1].logits(out.meta))), self.cal_y)
+        else:
+            share = min(float(self.labelled_y.mean()) if len(self.labelled_y) else 0.0, 1 - 1e-6)
+            out.mix = np.array([0.0, 0.0, math.log((share + 1e-9) / (1 - share))])
+        return out
+
+
+def confident(pool: DataFrame, learners: list[Learner]) -> DataFrame:
+    """(target, view, label, key): the PER_ROUND surest documents of each, among all that the other view was not given yet."""
+    judges = [[learner.judge(k) for k in range(2)] for learner in learners]
+    had = [[np.array(sorted(learner.given[1 - k]), np.int64) for k in range(2)] for learner in learners]
+    words = learners[0].words
+    cases = [(t, k, label) for t in range(len(learners)) for k in range(2) for label in (1, 0)]
+
+    def run(batches):
+        best = {c: (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in cases}
+        for b in batches:
+            key, tie = b.column("key").to_numpy(), b.column("tie").to_numpy()
+            lists = [b.column(c) for c in ("slots", "metas")]
+            counts, values = zip(*[(x.value_lengths().to_numpy(), x.flatten().to_numpy()) for x in lists])
+            views = _views(counts, values, b.column("dense").flatten().to_numpy().reshape(len(key), _SHAPE), words)
+            for t, k, label in cases:
+                model, c = judges[t][k]
+                p = np.round(_sigmoid(views[k].logits(model) * c[0] + c[1]), 9)
+                p = p if label else 1 - p
+                on = (p >= SURE) & ~np.isin(key, had[t][k])
+                p, i, j = (np.r_[x, y] for x, y in zip(best[t, k, label], (p[on], tie[on], key[on])))
+                order = np.lexsort((j, i, -p))
+                order = order[np.r_[True, j[order][1:] != j[order][:-1]][: len(order)]][:PER_ROUND]
+                best[t, k, label] = p[order], i[order], j[order]
+        for (t, k, label), (p, i, j) in best.items():
+            n = len(p)
+            yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int32()) for v in (t, k, label)] + [pa.array(p, pa.float64()), pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["target", "view", "label", "p", "tie", "key"])
+
+    found = pool.select("key", "tie", "slots", "dense", "metas").mapInArrow(run, "target int, view int, label int, p double, tie long, key long")
+    once = found.groupBy("target", "view", "label", "key").agg(F.max("p").alias("p"), F.max("tie").alias("tie"))
+    first = Window.partitionBy("target", "view", "label").orderBy(F.desc("p"), "tie", "key")
+    return once.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PER_ROUND).select("target", "view", "label", "key")
+
+
+def exchange(pool: DataFrame, learners: list[Learner]) -> bool:
+    """One round: each view hands its surest documents to the other. False if there was none."""
+    picks = [r.asDict() for r in confident(pool, learners).collect()]
+    if not picks:
+        return False
+    wanted = pool.sparkSession.createDataFrame([(k,) for k in sorted({r["key"] for r in picks})], "key long")
+    rows = {r["key"]: r for r in pool.join(F.broadcast(wanted), "key").groupBy("key").agg(F.min_by(F.struct("key", "slots", "dense", "metas"), "row").alias("r")).select("r.*").collect()}
+    for r in sorted(picks, key=lambda r: (r["target"], r["view"], -r["label"], r["key"])):
+        learners[r["target"]].given[1 - r["view"]].setdefault(r["key"], (float(r["label"]), rows[r["key"]]))
+    return True
 
 
 @dataclass
@@ -194,17 +245,16 @@ class Model:
 _FEATURES = "key long, low_quality int, toxic int, slots array<int>, dense array<double>, metas array<int>"
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled sample and the pool, ids first so that texts move only for rows that are drawn."""
-    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
+def _sample(labels: DataFrame) -> DataFrame:
+    """The labelled sample's ids and targets."""
+    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__key")).agg(
         F.max((F.col("quality") == 0).cast("int")).alias("low_quality"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")
     )
-    some = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(MAX_LABELLED + MAX_POOL)
-    pool = ids.join(F.broadcast(some), "doc_id", "left_anti").limit(MAX_POOL).select("doc_id", F.lit(-1).alias("low_quality"), F.lit(-1).alias("toxic"))
-    drawn = some.unionByName(pool).select(F.col("doc_id").alias("__key"), "low_quality", "toxic")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("__key")).drop("__key")
+    return lab.orderBy(F.xxhash64("__key"), "__key").limit(MAX_LABELLED)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
 
 
 def _held(key) -> bool:
@@ -226,7 +276,7 @@ def vocabulary_of(sample: DataFrame) -> DataFrame:
         for b in batches:
             count: dict[bytes, list[int]] = {}
             for key, text, *ys in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                add = (1, 0, 0, 0) if ys[0] < 0 or _held(key) else (1, 1, *ys)
+                add = (1, 0, 0, 0) if _held(key) else (1, 1, *ys)
                 for w in terms(fold(text)):
                     c = count.setdefault(w, [0, 0, 0, 0])
                     for i, x in enumerate(add):
@@ -235,38 +285,45 @@ def vocabulary_of(sample: DataFrame) -> DataFrame:
 
     sums = ["n", "all_on", *TARGETS]
     learnt = F.crc32(F.concat(F.lit("held"), F.col("doc_id").cast("string")).cast("binary")) % 1000 >= HELD_OUT * 1000
-    total = sample.where((F.col("low_quality") >= 0) & learnt).agg(F.count("*"), *[F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS]).first()
+    total = sample.where(learnt).agg(F.count("*"), *[F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS]).first()
     found = sample.select("doc_id", "text", *TARGETS).mapInArrow(words, "w binary, " + ", ".join(f"{c} long" for c in sums)).groupBy("w").agg(*[F.sum(c).alias(c) for c in sums])
     best = F.greatest(*[_apart(t, pos, total[0]) for t, pos in zip(TARGETS, total[1:])])
     return found.where(F.col("n") >= MIN_DOCS).orderBy(best.desc(), F.desc("n"), "w").limit(MAX_WORDS)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = _sample(docs, labels)
-    ranked = vocabulary_of(sample).select("w")
-    vocabulary = {bytes(r["w"]): i for i, r in enumerate(ranked.collect())}
-
-    def features(batches):
+def _features(rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    def run(batches):
         get = vocabulary.get
+        names = ("doc_id", "low_quality", "toxic", "text", "source", "lang", "n_chars")
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                w = fold(r["text"])
+            key, low, toxic, *cols = [b.column(c) for c in names]
+            slots, dense, metas = [], [], []
+            for text, *m in zip(*[c.to_pylist() for c in cols]):
+                w = fold(text)
                 ts = terms(w)
-                rows.append({"key": r["doc_id"], "low_quality": r["low_quality"], "toxic": r["toxic"], "slots": [i for t in ts if (i := get(t)) is not None], "dense": shape(r["text"], w, len(ts)), "metas": meta(r["source"], r["lang"], r["n_chars"])})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("low_quality", pa.int32()), ("toxic", pa.int32()), ("slots", pa.list_(pa.int32())), ("dense", pa.list_(pa.float64())), ("metas", pa.list_(pa.int32()))]))
+                slots.append(sorted(i for t in ts if (i := get(t)) is not None))
+                dense.append(shape(text, w, len(ts)))
+                metas.append(meta(*m))
+            yield pa.RecordBatch.from_arrays([key, low, toxic, pa.array(slots, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), pa.array(metas, pa.list_(pa.int32()))], names=["key", "low_quality", "toxic", "slots", "dense", "metas"])
 
-    got = sorted(sample.mapInArrow(features, _FEATURES).collect(), key=lambda r: (r["key"], sorted(r["slots"])))
-    n = len(got)
+    return rows.mapInArrow(run, _FEATURES)
 
-    def sparse(name: str, width: int, dense: np.ndarray) -> Sparse:
-        at = np.repeat(np.arange(n), [len(r[name]) for r in got]) if n else np.zeros(0, int)
-        return Sparse(at, np.fromiter((i for r in got for i in r[name]), int), dense, max(1, width))
 
-    text = sparse("slots", len(vocabulary), np.array([r["dense"] for r in got]).reshape(n, _SHAPE))
-    metas = sparse("metas", META_SLOTS, np.zeros((n, 0)))
-    held = np.array([_held(r["key"]) for r in got], bool)
-    return Model(vocabulary, [cotrain(text, metas, np.array([r[t] for r in got], float), held) for t in TARGETS])
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    drawn, rows = F.broadcast(_sample(labels)), _rows(docs)
+    sample = rows.join(drawn, F.col("doc_id") == F.col("__key")).drop("__key")
+    vocabulary = {bytes(r["w"]): i for i, r in enumerate(vocabulary_of(sample).select("w").collect())}
+    got = sorted(_features(sample, vocabulary).collect(), key=lambda r: (r["key"], r["slots"], r["dense"], r["metas"]))
+    others = rows.join(drawn, F.col("doc_id") == F.col("__key"), "left_anti").select("*", F.lit(-1).alias("low_quality"), F.lit(-1).alias("toxic"))
+    learners = [Learner(got, np.array([r[t] for r in got], float), len(vocabulary)) for t in TARGETS]
+    if any(0 < learner.learnt_y.sum() < len(learner.learnt_y) for learner in learners):  # no view can be sure of anything otherwise
+        features = _features(others, vocabulary).select("key", F.xxhash64("key").alias("tie"), F.xxhash64("slots", "dense", "metas").alias("row"), "slots", "dense", "metas")
+        pool = written(features, "pool")
+        for _ in range(ROUNDS):
+            if not exchange(pool, learners):
+                break
+        discard(pool)
+    return Model(vocabulary, [learner.target() for learner in learners])
 
 
 def _scorer(model: Model):

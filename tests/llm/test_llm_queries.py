@@ -378,6 +378,35 @@ def test_cotraining_rare_markers(spark):
     assert sum(bad) / len(bad) > 0.7 and sum(good) / len(good) < 0.05
 
 
+def test_cotraining_judges_all(spark):
+    """Every document outside the labelled sample is judged: the choice equals a plain one over all of them, round by round."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    sample = cotraining._rows(docs).join(cotraining._sample(labels), F.col("doc_id") == F.col("__key")).drop("__key")
+    vocabulary = {bytes(r["w"]): i for i, r in enumerate(cotraining.vocabulary_of(sample).select("w").collect())}
+    got = sorted(cotraining._features(sample, vocabulary).collect(), key=lambda r: r["key"])
+    others = cotraining._rows(docs).join(labels, "doc_id", "left_anti").selectExpr("*", "-1 AS low_quality", "-1 AS toxic")
+    pool = cotraining._features(others, vocabulary).selectExpr("key", "xxhash64(key) AS tie", "xxhash64(slots, dense, metas) AS row", "slots", "dense", "metas").repartition(5).cache()
+    rows = pool.collect()
+    assert {r["key"] for r in rows} == {r["doc_id"] for r in docs.join(labels, "doc_id", "left_anti").collect()}
+    learners = [cotraining.Learner(got, np.array([r[t] for r in got], float), len(vocabulary)) for t in cotraining.TARGETS]
+    most, cotraining.PER_ROUND = cotraining.PER_ROUND, 7
+    try:
+        for _ in range(2):
+            want = set()
+            for t, learner in enumerate(learners):
+                for k in range(2):
+                    model, c = learner.judge(k)
+                    p = 1 / (1 + np.exp(-(cotraining._views_of(rows, len(vocabulary))[k].logits(model) * c[0] + c[1])))
+                    for label in (1, 0):
+                        sure = sorted((-round(float(q if label else 1 - q), 9), r["tie"], r["key"]) for q, r in zip(np.round(p, 9), rows) if (q if label else 1 - q) >= cotraining.SURE and r["key"] not in learner.given[1 - k])
+                        want |= {(t, k, label, key) for *_, key in sure[:7]}
+            assert {tuple(r) for r in cotraining.confident(pool, learners).collect()} == want and want
+            cotraining.exchange(pool, learners)
+            assert all((learners[t].given[1 - k][key][0] in (0.0, 1.0)) for t, k, _, key in want)
+    finally:
+        cotraining.PER_ROUND = most
+
+
 def test_cotraining_odd(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (7, 0, 1), (7, 1, 0), (9, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     for ls in (labels, labels.limit(0)):
