@@ -1,32 +1,21 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as smaller (S) or larger (L) than the next; the leftmost S of each run starts a substring, the
-substrings are sorted by inducing once from any order, named, and the reduced text of their names is sorted; inducing
-from that order gives the whole array. Inducing goes bucket by bucket, a bucket's entries at once. The reduced text's
-alphabet is too large for that, so it is sorted by rank doubling instead of another level of inducing.
+substrings are sorted by inducing once from any order and named; while names repeat, the reduced text of the names is
+sorted in the same way; inducing from that order gives the whole array. Each level is at most half as long as the one
+above it, so the whole is linear. The bytes' level has few characters and induces a bucket's entries at once, in numpy;
+the levels below have about as many names as entries and induce one entry at a time, in arrays of 32-bit integers.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
+from array import array
+from collections.abc import Callable
 
-def _ranks_doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a text of names."""
-    rank, k, n = names.astype(np.int64), 1, len(names)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
-        if new[order[-1]] == n - 1:
-            return order
-        rank, k = new, 2 * k
+import numpy as np
 
 
-def _induce(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+def _induce_buckets(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """All suffixes from the order of those at ``starts`` (leftmost smaller ones)."""
     n = len(t)
     count = np.bincount(t, minlength=size)
@@ -81,27 +70,50 @@ def _induce(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, size: int) -
     return sa
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Of a byte text; shorter suffixes come before those that continue them."""
-    n = len(text)
-    if n < 2:
-        return np.arange(n)
-    t = np.zeros(n + 1, np.int64)
-    t[:n] = text.astype(np.int64) + 1
-    size = 257
+def _induce_entries(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The same for a text of many characters."""
+    end = np.cumsum(np.bincount(t, minlength=size))
+    chars, small = array("i", t.astype(np.int32).tobytes()), smaller.tobytes()
+    sa = np.full(len(t), -1, np.int32)
+    c = t[starts]
+    by_char = np.argsort(c, kind="stable")
+    upto = np.cumsum(np.bincount(c, minlength=size))
+    sa[np.arange(len(starts)) + (end - upto)[c[by_char]]] = starts[by_char]
+    sa = array("i", sa.tobytes())
+    at = array("i", np.r_[0, end[:-1]].astype(np.int32).tobytes())
+    for j in sa:  # grows ahead of the loop
+        j -= 1
+        if j >= 0 and not small[j]:
+            c = chars[j]
+            sa[at[c]] = j
+            at[c] += 1
+    # Every place of a smaller suffix but the end mark's is written again before it is read.
+    at = array("i", end.astype(np.int32).tobytes())
+    for j in reversed(sa):
+        j -= 1
+        if j >= 0 and small[j]:
+            c = chars[j]
+            at[c] -= 1
+            sa[at[c]] = j
+    return np.frombuffer(sa, np.int32).astype(np.int64)
+
+
+def _sorted(t: np.ndarray, size: int, induce: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Of a text of characters below ``size`` whose last one, 0, stands nowhere else."""
+    n = len(t)
     step = np.sign(np.diff(t))  # 1: smaller than the next character; the end mark is smaller than all
-    known = np.where(step != 0, np.arange(n), n)
+    known = np.where(step != 0, np.arange(n - 1), n - 1)
     at = np.minimum.accumulate(known[::-1])[::-1]
-    smaller = np.r_[step[at] > 0, True]
+    smaller = np.r_[step[np.minimum(at, n - 2)] > 0, True]
     starts = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    sa = induce(t, smaller, starts, size)
     if len(starts) == 1:
-        return _induce(t, smaller, starts, size)[1:]
-    sa = _induce(t, smaller, starts, size)
-    is_start = np.zeros(n + 1, bool)
+        return sa
+    is_start = np.zeros(n, bool)
     is_start[starts] = True
     order = sa[is_start[sa]]
-    length = np.zeros(n + 1, np.int64)
-    length[starts] = np.diff(np.r_[starts, n]) + 1
+    length = np.zeros(n, np.int64)
+    length[starts] = np.diff(np.r_[starts, n - 1]) + 1
     a, b = order[:-1], order[1:]
     same = length[a] == length[b]
     k, live = 0, np.flatnonzero(same)
@@ -111,11 +123,22 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         k += 1
         live = live[~differ]
         live = live[length[a[live]] > k]
-    name = np.empty(n + 1, np.int64)
+    name = np.empty(n, np.int64)
     name[order] = np.r_[0, np.cumsum(~same)]
     names = name[starts]
-    reduced = np.argsort(names) if names.max() == len(starts) - 1 else _ranks_doubled(names)
-    return _induce(t, smaller, starts[reduced], size)[1:]
+    most = int(names.max())
+    reduced = np.argsort(names) if most == len(starts) - 1 else _sorted(names, most + 1, _induce_entries)
+    return induce(t, smaller, starts[reduced], size)
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Of a byte text; shorter suffixes come before those that continue them."""
+    n = len(text)
+    if n < 2:
+        return np.arange(n)
+    t = np.zeros(n + 1, np.int64)
+    t[:n] = text.astype(np.int64) + 1
+    return _sorted(t, 257, _induce_buckets)[1:]
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, forced: np.ndarray, most: int) -> np.ndarray:
