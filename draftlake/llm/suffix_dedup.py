@@ -6,7 +6,9 @@ minimizers, so shards by minimizer never split equal windows. Neighbouring windo
 equal segments are copies as a whole: of these all but the first are removed without another look, already inside
 each batch before anything is shuffled, which is what keeps hot passages from meeting in one task. Where one minimizer
 has segments that differ, the first copies' bytes go to the minimizer's shard, whose suffix array is induced; windows
-are equal where neighbours in the array share 100 bytes, and all but the first of those are removed.
+are equal where neighbours in the array share 100 bytes, and all but the first of those are removed. A minimizer with
+more than HOT_BYTES of such segments (a short phrase in very many contexts) is divided first, by the minimizers that
+other hash functions choose in each window; equal windows agree in these as well.
 
 Order is by doc_id, then start. Defined results: a null or empty text has no bytes; null doc_ids come first; rows that
 repeat both doc_id and text count as one document and get the same result each; rows that repeat only the doc_id are
@@ -33,6 +35,8 @@ GRAM = 24
 PIECE = 1 << 18
 #: Bytes of text for each shard, and the least number of shards.
 SHARD_BYTES, MIN_SHARDS = 16 << 20, 96
+#: Bytes of one minimizer's segments that stay together; for each HOT_FACTOR times as much one more minimizer divides them.
+HOT_BYTES, HOT_FACTOR = 2 << 20, 64
 #: The longest segment: a minimizer's windows reach over so many starts.
 _REACH = WINDOW - GRAM + 1
 _NONE = -(1 << 63)
@@ -88,13 +92,15 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
         yield flush()
 
 
-def segments(texts: list[bytes], hasher: Hasher) -> np.ndarray:
-    """All segments: minimizer, digest of the bytes, number of the text (as doc), start and length."""
+def segments(texts: list[bytes], hasher: Hasher, choice: int = 0) -> np.ndarray:
+    """All segments: minimizer, digest of the bytes, number of the text (as doc), start and length; each choice orders the grams by another hash."""
     out = []
     for data, which, starts, offsets in _pieces(texts):
         raw = np.frombuffer(data, np.uint8)
         sums = hasher.sums(raw, 0)
         grams = hasher.stretch(sums, np.arange(len(raw) - GRAM + 1), np.arange(GRAM, len(raw) + 1), 0)
+        if choice:
+            grams = _mix(grams + np.uint64(choice) * np.uint64(0x9E3779B97F4A7C15))
         least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         span = 1
         while 2 * span <= _REACH:
@@ -156,7 +162,7 @@ def _batch(kind: str, cols: tuple[list, list, list]) -> pa.RecordBatch:
 
 
 _FOUND = "kind string, doc long, tag long, rows binary"
-_ASK = np.dtype([("pos", "<u4"), ("len", "<u2"), ("key", "<u8")])
+_ASK = np.dtype([("pos", "<u4"), ("len", "<u2"), ("key", "<u8"), ("more", "u1")])
 
 
 def filed(docs: DataFrame, shards: int) -> DataFrame:
@@ -200,11 +206,15 @@ def compared(filed_rows: DataFrame) -> DataFrame:
         beside = np.r_[False, x["key"][1:] == x["key"][:-1]][: len(x)]
         shared = beside | np.r_[beside[1:], False][: len(x)]
         x = x[shared]
-        x = x[np.lexsort((x["pos"], x["tag"], x["doc"]))]
+        runs = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]][: len(x)])
+        volume = np.add.reduceat(x["len"].astype(np.int64), runs) if len(x) else np.zeros(0, np.int64)
+        more = np.ceil(np.log(np.maximum(volume / HOT_BYTES, 1)) / np.log(HOT_FACTOR)).astype(np.uint8)
+        x, more = x[order := np.lexsort((x["pos"], x["tag"], x["doc"]))], np.repeat(more, np.diff(np.r_[runs, len(x)]))[order]
         edge = np.flatnonzero(np.r_[True, (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1])][: len(x)])
         packed = np.zeros(len(x), _ASK)
         for c in ("pos", "len", "key"):
             packed[c] = x[c]
+        packed["more"] = more
         asks = (x["doc"][edge].tolist(), x["tag"][edge].tolist(), [packed[i:j].tobytes() for i, j in zip(edge.tolist(), np.r_[edge[1:], len(x)].tolist())])
         through = (passed["doc"].to_pylist(), passed["tag"].to_pylist(), passed["rows"].to_pylist())
         return pa.Table.from_batches([_batch("cut", cuts), _batch("ask", asks), _batch("cut", through)])
@@ -215,13 +225,31 @@ def compared(filed_rows: DataFrame) -> DataFrame:
 _HEAD = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("len", "<u2"), ("key", "<u8")])
 
 
+def divided(heads: np.ndarray, texts: list[bytes], more: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, list[bytes]]:
+    """Segments of hot minimizers divided by as many further ones as ``more`` says, the others as they are."""
+    for choice in range(1, int(more.max(initial=0)) + 1):
+        hot = more >= choice
+        at = np.flatnonzero(hot)
+        x = segments([texts[i] for i in at.tolist()], hasher, choice)
+        own = at[x["doc"]]
+        h = heads[own]
+        h["pos"] += x["pos"]
+        h["len"] = x["len"]
+        h["key"] = _mix(h["key"] ^ _mix(x["key"]))
+        parts = [texts[i][p : p + n] for i, p, n in zip(own.tolist(), x["pos"].tolist(), x["len"].tolist())]
+        rest = np.flatnonzero(~hot)
+        heads, texts, more = np.concatenate((heads[rest], h)), [texts[i] for i in rest.tolist()] + parts, np.r_[more[rest], more[own]]
+    return heads, texts
+
+
 def fetched(docs: DataFrame, asks: DataFrame, shards: int) -> DataFrame:
     """(place, heads, bytes): the asked segments, packed per batch and shard."""
     wanted = asks.groupBy("doc", "tag").agg(F.collect_list("rows").alias("asks"))
 
     def run(batches):
+        hasher = Hasher()
         for b in batches:
-            heads, texts = [], []
+            heads, texts, more = [], [], []
             for doc, tag, text, rows in zip(*[b.column(i).to_pylist() for i in range(4)]):
                 x = np.frombuffer(b"".join(rows), _ASK)
                 h = np.zeros(len(x), _HEAD)
@@ -229,10 +257,11 @@ def fetched(docs: DataFrame, asks: DataFrame, shards: int) -> DataFrame:
                 for c in ("pos", "len", "key"):
                     h[c] = x[c]
                 heads.append(h)
+                more.append(x["more"])
                 texts += [text[p : p + n] for p, n in zip(x["pos"].tolist(), x["len"].tolist())]
             if not heads:
                 continue
-            h = np.concatenate(heads)
+            h, texts = divided(np.concatenate(heads), texts, np.concatenate(more), hasher)
             place = (h["key"] % np.uint64(shards)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             bounds = np.searchsorted(place[order], np.arange(shards + 1))

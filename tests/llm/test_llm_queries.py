@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from draftlake.llm import common, cotraining, decontaminate, language_model, near_duplicates, quality_rules, secrets, suffix_dedup, token_records, unigram, url_filters
 from draftlake.llm.queries import ORACLE_SQL, QUERIES
+from draftlake.llm.suffix_sort import suffix_array
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string, ids string, doc string, rows string"
@@ -310,6 +311,22 @@ def test_suffix_dedup_brute_force(spark):
     test_suffix_dedup_odd(spark.read.parquet(f"{DATA}/documents.parquet").limit(120).cache(), spark.createDataFrame([], "doc_id long, text string"))
 
 
+def test_suffix_dedup_hot(spark, monkeypatch):
+    """Minimizers divided once and several times give what undivided ones give."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 40)
+    for factor in (1 << 20, 2):
+        monkeypatch.setattr(suffix_dedup, "HOT_FACTOR", factor)
+        test_suffix_dedup_brute_force(spark)
+
+
+def test_suffix_array():
+    """Against sorted suffixes; the recursion goes several levels deep in repeated texts."""
+    dice = random.Random(5)
+    for _ in range(300):
+        t = bytes(dice.choices(range(dice.choice((1, 2, 3, 255))), k=dice.randint(0, 90))) * dice.choice((1, 1, 4))
+        assert suffix_array(np.frombuffer(t, np.uint8)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
 def test_language_model(spark, odd, empty):
     docs = odd.unionByName(spark.read.parquet(f"{DATA}/documents.parquet").limit(60).selectExpr("doc_id + 1000 AS doc_id", "text").withColumns({c: F.lit(None).cast(t) for c, t in odd.dtypes if c not in ("doc_id", "text")}).select(odd.columns))
     prepared = language_model.prepared(docs)
