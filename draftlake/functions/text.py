@@ -147,9 +147,12 @@ def class_name_score(name: Column) -> Column:
 LATIN_PAGES, GBK_PAGES = (2, 11, 12, 30), (31, 39)
 
 
+def codec(page: int | None) -> str:
+    return "latin-1" if page in LATIN_PAGES else "gbk" if page in GBK_PAGES else "utf-8"
+
+
 def _decoded(raw: pd.Series, page: pd.Series) -> pd.Series:
-    names = {**dict.fromkeys(LATIN_PAGES, "latin-1"), **dict.fromkeys(GBK_PAGES, "gbk")}
-    return pd.Series([None if b is None else bytes(b).decode(names.get(p, "utf-8"), "replace") for b, p in zip(raw, page)])
+    return pd.Series([None if b is None else bytes(b).decode(codec(p), "replace") for b, p in zip(raw, page)])
 
 
 def decode_codepage(raw: Column | str, page: Column | str) -> Column:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import color, geometry, text
 from ..operators import bounds, expand, resolve, sheets, tessellate
+from ..schema import ENTITIES
 from ..sinks import dump, svg
-from ..sources import dxf
+from ..sinks import dwg as dwg_sink
+from ..sources import dwg, dxf
 from .adapters import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -441,6 +444,44 @@ def rerender_plan(t: Tables) -> DataFrame:
     return sheets.planned_widths(t.points(), t.sheets(), widths)
 
 
+def _dwg(t: Tables) -> DataFrame:
+    """Binary drawings of a region: a circle and a text a customer, an insert a supplier."""
+    point = "array(struct(CAST({} AS DOUBLE) AS x, CAST({} AS DOUBLE) AS y))"
+    of_nation = t("nation").selectExpr("n_nationkey", "CAST(n_regionkey AS STRING) AS doc_id")
+    c = t("customer").join(of_nation, F.expr("c_nationkey = n_nationkey"))
+    one = "CAST(0 AS BIGINT) AS owner", "'model' AS space"
+    circle = c.selectExpr("doc_id", "3 * c_custkey + 3 AS handle", "'CIRCLE' AS type_name", *one, "c_custkey % 9 + 1 AS layer", point.format("c_acctbal", "c_custkey") + " AS points", "CAST(c_nationkey + 0.5 AS DOUBLE) AS radius")
+    label = c.selectExpr("doc_id", "3 * c_custkey + 4 AS handle", "'TEXT' AS type_name", *one, "c_custkey % 9 + 1 AS layer", point.format("c_custkey", "c_acctbal") + " AS points", "c_name AS text", "CAST(c_nationkey + 1 AS DOUBLE) AS height")
+    place = t("supplier").join(of_nation, F.expr("s_nationkey = n_nationkey")).selectExpr(
+        "doc_id", "3 * s_suppkey + 5 AS handle", "'INSERT' AS type_name", *one, "CAST(1 AS BIGINT) AS layer", point.format("s_acctbal", "0") + " AS points", "s_suppkey + 1 AS block", "CAST(s_nationkey - 3 AS DOUBLE) AS sx", "2.0D AS sy"
+    )
+    rows = circle.unionByName(label, allowMissingColumns=True).unionByName(place, allowMissingColumns=True)
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(ENTITIES)}
+    rows = rows.withColumns({n: F.lit(None).cast(kinds.get(n, "int")) for n in dwg_sink.ROW if n not in rows.columns and n not in tessellate.OPTIONAL})
+    layers = t("region").selectExpr("CAST(r_regionkey AS STRING) AS doc_id", "CAST(1000000000 + r_regionkey AS BIGINT) AS layer_handle", "r_name AS name", "r_regionkey + 1 AS aci")
+    blocks = t("nation").selectExpr("CAST(n_regionkey AS STRING) AS doc_id", "CAST(1000000100 + n_nationkey AS BIGINT) AS block_handle", "n_name AS name")
+    return dwg_sink.write(rows, layers, blocks)
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, handle, type_name, layer, x, y, radius, text, height, block, sx FROM (
+  SELECT c_nationkey AS k, 3 * c_custkey + 3 AS handle, 'CIRCLE' AS type_name, c_custkey % 9 + 1 AS layer, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y, CAST(c_nationkey + 0.5 AS DOUBLE) AS radius, NULL AS text, CAST(NULL AS DOUBLE) AS height, CAST(NULL AS BIGINT) AS block, 1.0::DOUBLE AS sx FROM customer
+  UNION ALL SELECT c_nationkey, 3 * c_custkey + 4, 'TEXT', c_custkey % 9 + 1, CAST(c_custkey AS DOUBLE), c_acctbal, NULL, c_name, CAST(c_nationkey + 1 AS DOUBLE), NULL, 1.0 FROM customer
+  UNION ALL SELECT s_nationkey, 3 * s_suppkey + 5, 'INSERT', 1, s_acctbal, 0.0, NULL, NULL, NULL, s_suppkey + 1, CAST(s_nationkey - 3 AS DOUBLE) FROM supplier) JOIN nation ON n_nationkey = k""")
+def dwg_entities(t: Tables) -> DataFrame:
+    """Rows written as binary drawings, read again by container, object map, records and payloads."""
+    p = F.element_at("points", 1)
+    return dwg.entities(_dwg(t)).select("doc_id", "handle", "type_name", "layer", p["x"].alias("x"), p["y"].alias("y"), "radius", "text", "height", "block", "sx")
+
+
+@query("""SELECT CAST(r_regionkey AS VARCHAR) AS doc_id, 1000000000 + r_regionkey AS handle, 'LAYER' AS kind, r_name AS name, CAST(r_regionkey + 1 AS INT) AS aci FROM region
+  UNION ALL SELECT CAST(n_regionkey AS VARCHAR), 1000000100 + n_nationkey, 'BLOCK_HEADER', n_name, NULL FROM nation""")
+def dwg_objects(t: Tables) -> DataFrame:
+    """Layers and blocks of binary drawings."""
+    files = _dwg(t)
+    y = dwg.layers(files).select("doc_id", F.col("layer_handle").alias("handle"), F.lit("LAYER").alias("kind"), "name", "aci")
+    return y.unionByName(dwg.blocks(files).select("doc_id", F.col("block_handle").alias("handle"), F.lit("BLOCK_HEADER").alias("kind"), "name", F.lit(None).cast("int").alias("aci")))
+
+
 _WIDER = "CASE WHEN sheet_index % 3 = 0 THEN max_x + 40000 ELSE max_x END"
 
 

@@ -31,6 +31,9 @@ class BitReader:
     def flag(self) -> bool:
         return bool(self.bits(1))
 
+    def bits2(self) -> int:
+        return self.bits(2)
+
     def u8(self) -> int:
         return self.bits(8)
 
@@ -141,6 +144,9 @@ class BitWriter:
     def flag(self, v: bool) -> None:
         self.bits(int(v), 1)
 
+    def bits2(self, v: int) -> None:
+        self.bits(v, 2)
+
     def u8(self, v: int) -> None:
         self.bits(v, 8)
 
@@ -232,7 +238,7 @@ class BitWriter:
         self.u8(rest | (0x40 if signed and v < 0 else 0))
 
     def text(self, v: str, codepage: str = "latin-1") -> None:
-        data = v.encode(codepage) + b"\0"
+        data = v.encode(codepage, "replace") + b"\0"
         self.short(len(data))
         self.raw(data)
 

@@ -2,23 +2,41 @@
 
 Files are read as rows of bytes; one file is decoded in one task, several per Arrow batch, and rows leave typed. The
 directory and map of the uncompressed container family are read; of the other families the version and the unmasked
-header. Entity payloads are framed (handle, offset, size, type code), not decoded.
+header. Of R2000 files the records are decoded to the rows that JSON exports give; a record that cannot be decoded is an
+error row, never a lost file.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import batched
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.text import version_name
+from ..functions.text import codec, version_name
+from ..schema import P2
+from . import dwg_records as records
 from .bits import BitReader, BitWriter, crc16, object_map
+from .json_drawings import with_vertices
 
 #: Releases whose container is the uncompressed section directory, and the directory's place.
 PLAIN = ("AC1012", "AC1014", "AC1015")
 DIRECTORY_AT = 0x15
+#: The release whose records are decoded.
+DECODED = "AC1015"
+ROWS_PER_BATCH = 5_000
+#: Rows of every kind of record; ``kind`` is entity, object or error.
+DECODED_ROWS = f"""doc_id string, seq int, kind string, type_name string, handle bigint, space string, owner bigint, layer bigint,
+ color_index int, true_color bigint, points array<{P2}>, radius double, a0 double, a1 double, bulges array<double>, closed boolean,
+ text string, tag string, height double, rotation double, block bigint, sx double, sy double, axis {P2}, ratio double, degree int,
+ knots array<double>, control array<{P2}>, weights array<double>, turns double,
+ paths array<struct<points:array<{P2}>,bulges:array<double>>>, name string, keys array<string>, items array<bigint>, reason string"""
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -51,21 +69,31 @@ def map_chunks(data: bytes, at: int, size: int) -> Iterator[bytes]:
         at += n + 2
 
 
+def places(data: bytes) -> Iterator[tuple[int, int]]:
+    """(handle, offset) of each object."""
+    where = sections(data).get(2)
+    for chunk in map_chunks(data, *where) if where else ():
+        yield from object_map(chunk)
+
+
+def frame(data: bytes, offset: int) -> tuple[int, int]:
+    """(size, type code) of the record at an offset; one that leaves the file raises."""
+    r = BitReader(data, 8 * offset)
+    size = r.modular_short()
+    kind = r.short()
+    if offset + size > len(data):
+        raise ValueError(f"record of {size} bytes at {offset} of {len(data)}")
+    return size, kind
+
+
 def frames(data: bytes) -> Iterator[tuple[int, int, int, int]]:
     """(handle, offset, size, type code) of each object; a record that leaves the file is left out."""
-    where = sections(data).get(2)
-    if not where:
-        return
-    for chunk in map_chunks(data, *where):
-        for handle, offset in object_map(chunk):
-            try:
-                r = BitReader(data, 8 * offset)
-                size = r.modular_short()
-                kind = r.short()
-            except ValueError:
-                continue
-            if offset + size <= len(data):
-                yield handle, offset, size, kind
+    for handle, offset in places(data):
+        try:
+            size, kind = frame(data, offset)
+        except ValueError:
+            continue
+        yield handle, offset, size, kind
 
 
 def objects(files: DataFrame) -> DataFrame:
@@ -81,24 +109,124 @@ def objects(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(run, "doc_id string, handle long, offset long, size long, type_code long")
 
 
-def write(records: list[tuple[int, int, bytes]], version: str = "AC1015", codepage: int = 30) -> bytes:
+def _pairs(points: list[tuple] | None) -> list[dict[str, float]] | None:
+    return None if points is None else [{"x": p[0], "y": p[1]} for p in points]
+
+
+def row(f: dict[str, Any]) -> dict[str, Any]:
+    """The row of one record's fields, with the meanings of the JSON exports' rows."""
+    name = f["type_name"]
+    indices = sorted(int(k[1:]) for k in f if k[0] == "x" and k[1:].isdigit())
+    points = [(f[f"x{i}"], f[f"y{i}"]) for i in indices]
+    if name in records.DIMENSIONS:
+        points = [(f[f"x{i}"], f[f"y{i}"]) for i in indices if i < 4]
+    turn = math.atan2(f["direction"][1], f["direction"][0]) if name == "MTEXT" else f.get("rotation") or 0.0
+    closed = f.get("flags", 0) & (512 if name == "LWPOLYLINE" else 1)
+    out = {k: f.get(k) for k in ("handle", "owner", "layer", "color_index", "radius", "a0", "a1", "bulges", "text", "tag", "height", "block", "ratio", "degree", "knots", "weights", "name", "keys", "items")}
+    axis = f.get("axis")
+    out["block"] = out["block"] or None  # a null reference
+    if name in records.DIMENSIONS:
+        out["text"] = out["text"] or None  # the measured value is shown
+    return out | {
+        "kind": "object" if name in records.OBJECTS else "entity",
+        "type_name": "INSERT" if name == "MINSERT" else "DIMENSION" if name in records.DIMENSIONS else name,
+        "space": "paper" if f["mode"] == 1 else "block" if f["mode"] == 0 and f["owner"] else "model",
+        "points": _pairs(points) if points else None, "closed": bool(closed), "rotation": turn, "sx": f.get("sx", 1.0), "sy": f.get("sy", 1.0),
+        "bulges": [f["bulge"]] if "bulge" in f else f.get("bulges"),
+        "axis": _pairs([axis])[0] if axis else None, "control": _pairs(f.get("control")),
+        "paths": None if "paths" not in f else [{"points": _pairs(p), "bulges": b} for p, b in f["paths"]],
+    }
+
+
+def rows(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[dict[str, Any]]:
+    """A row for each record of the types asked for (default: all), and an error row for each that is not decoded."""
+
+    def error(reason: str, handle: int | None = None, name: str | None = None) -> dict[str, Any]:
+        return {"kind": "error", "reason": reason, "handle": handle, "type_name": name}
+
+    if data[:6].decode("latin-1") != DECODED:
+        yield error("no decoder for this release")
+        return
+    page = codec(int.from_bytes(data[0x13:0x15], "little"))
+    for seq, (handle, offset) in enumerate(places(data)):
+        name = None
+        try:
+            code = frame(data, offset)[1]
+            name = records.NAMES.get(code)
+            if name is None:
+                yield error(f"no decoder for type {code}", handle) | {"seq": seq}
+            elif kinds is None or name in kinds:
+                yield row(records.read(data, offset, page)) | {"seq": seq}
+        except ValueError:
+            yield error("damaged record", handle, name) | {"seq": seq}
+
+
+def decoded(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of ``DECODED_ROWS`` for the records of each file (doc_id, content); null content has none."""
+    schema = to_arrow_schema(StructType.fromDDL(DECODED_ROWS))
+    wanted = None if kinds is None else frozenset(kinds)
+
+    def run(batches):
+        for b in batches:
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1)):
+                found = ({"doc_id": doc} | r for r in rows(data.as_py() or b"", wanted)) if data.is_valid else ()
+                for part in batched(found, ROWS_PER_BATCH):
+                    yield pa.RecordBatch.from_pylist(list(part), schema)
+
+    return files.select("doc_id", "content").mapInArrow(run, DECODED_ROWS)
+
+
+def entities(files: DataFrame) -> DataFrame:
+    """Entity rows as JSON exports give them: vertices joined to their polylines, block ends and markers left out."""
+    e = decoded(files, tuple(k for k in records.TYPE_CODES if k not in records.OBJECTS)).where("kind = 'entity'")
+    e = e.drop("kind", "name", "keys", "items", "reason")
+    v = e.where("type_name IN ('VERTEX_2D', 'VERTEX_3D', 'VERTEX_MESH', 'VERTEX_PFACE')")
+    v = v.select("doc_id", "owner", "seq", F.get("points", 0).alias("p"), F.coalesce(F.get("bulges", 0), F.lit(0.0)).alias("b"))
+    return with_vertices(e.where("type_name NOT IN ('BLOCK', 'ENDBLK')"), v)
+
+
+def layers(files: DataFrame) -> DataFrame:
+    return decoded(files, ("LAYER",)).where("type_name = 'LAYER' AND kind = 'object'").select("doc_id", F.col("handle").alias("layer_handle"), "name", F.col("color_index").alias("aci"), "true_color")
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    return decoded(files, ("BLOCK_HEADER",)).where("type_name = 'BLOCK_HEADER' AND kind = 'object'").select("doc_id", F.col("handle").alias("block_handle"), "name")
+
+
+def dictionaries(files: DataFrame) -> DataFrame:
+    """(doc_id, dict_handle, pos, key, item_handle)."""
+    d = decoded(files, ("DICTIONARY",)).where("type_name = 'DICTIONARY' AND kind = 'object'")
+    return d.select("doc_id", F.col("handle").alias("dict_handle"), F.posexplode(F.arrays_zip("keys", "items")).alias("pos", "e")).select("doc_id", "dict_handle", "pos", F.col("e.keys").alias("key"), F.col("e.items").alias("item_handle"))
+
+
+def decode_errors(files: DataFrame) -> DataFrame:
+    """(doc_id, seq, handle, type_name, reason): files and records that reading skips."""
+    return decoded(files).where("kind = 'error'").select("doc_id", "seq", "handle", "type_name", "reason")
+
+
+def skipped(files: DataFrame) -> DataFrame:
+    """(doc_id, reason, n)."""
+    return decode_errors(files).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
+
+
+def write(contents: list[tuple[int, int, bytes]], version: str = "AC1015", codepage: int = 30) -> bytes:
     """A plain container with records (handle, type code, payload) and their object map; the fixture for ``read``."""
     head = bytearray(version.encode().ljust(DIRECTORY_AT, b"\0"))
     head[0x13:0x15] = codepage.to_bytes(2, "little")
     directory = 4 + 9 * 1
-    body, places = bytearray(), []
+    body, starts = bytearray(), []
     start = DIRECTORY_AT + directory
-    for handle, kind, payload in sorted(records):
+    for handle, kind, payload in sorted(contents):
         w = BitWriter()
         w.short(kind)
         w.raw(payload)
         data = w.done()
         n = BitWriter()
         n.modular_short(len(data))
-        places.append((handle, start + len(body)))
+        starts.append((handle, start + len(body)))
         body += n.done() + data + crc16(data).to_bytes(2, "little")
     m, last = BitWriter(), (0, 0)
-    for handle, offset in places:
+    for handle, offset in starts:
         m.modular(handle - last[0])
         m.modular(offset - last[1], signed=True)
         last = handle, offset

@@ -106,9 +106,14 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def _with_vertices(e: DataFrame, rows: DataFrame) -> DataFrame:
-    """Old-style polylines with the points and bulges of their vertices, which name them as owner; vertices themselves go."""
     x = F.col("o")
     v = e.where(F.col("type_name").isin("VERTEX_2D", "VERTEX_3D", "VERTEX_MESH", "VERTEX_PFACE")).select("doc_id", "owner", "seq", _p2(x, "$.point").alias("p"), F.coalesce(get(x, "$.bulge", "double"), F.lit(0.0)).alias("b"))
+    return with_vertices(rows, v)
+
+
+def with_vertices(rows: DataFrame, v: DataFrame) -> DataFrame:
+    """Old-style polylines with the points and bulges of their vertices (doc_id, owner, seq, p, b), which name them as
+    owner; vertices themselves go."""
     listed = F.array_sort(F.collect_list(F.struct("seq", "p", "b")))
     v = v.where("p IS NOT NULL").groupBy("doc_id", F.col("owner").alias("handle")).agg(listed.alias("l"))
     v = v.select("doc_id", "handle", F.transform("l", lambda a: a["p"]).alias("__p"), F.transform("l", lambda a: a["b"]).alias("__b"))
