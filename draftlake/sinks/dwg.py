@@ -1,4 +1,4 @@
-"""Writer of binary drawings: entity, layer and block rows to R2000 records in the plain container.
+"""Writer of binary drawings: entity, layer and block rows to R2000 or R2004 records and their container.
 
 A drawing's rows meet in one task, as its file is one value. The container holds the object map and the records, which is
 what this library's reader needs; the header variables and classes that a drawing program asks for are not written.
@@ -18,7 +18,7 @@ from ..sources import dwg
 from ..sources import dwg_records as records
 
 ROW = (
-    "type_name", "handle", "space", "owner", "layer", "color_index", "points", "radius", "a0", "a1", "bulges", "closed", "text", "tag", "height", "rotation",
+    "type_name", "handle", "space", "owner", "layer", "color_index", "true_color", "points", "radius", "a0", "a1", "bulges", "closed", "text", "tag", "height", "rotation",
     "block", "sx", "sy", "axis", "ratio", "degree", "knots", "control", "weights", "paths",
 )
 MODES = {"block": 0, "paper": 1, "model": 2}
@@ -51,7 +51,7 @@ def fields(row: dict[str, Any]) -> dict[str, Any] | None:
     return f
 
 
-def content(rows: list[dict[str, Any]], objects: list[dict[str, Any]], page: int = 30) -> tuple[bytes, int]:
+def content(rows: list[dict[str, Any]], objects: list[dict[str, Any]], page: int = 30, version: str = "AC1015") -> tuple[bytes, int]:
     """(file, number of rows left out; those without a positive handle are). Vertices and sequence ends take handles beyond the largest one."""
     out, left, text = [], 0, codec(page)
     free = max([r["handle"] for r in rows + objects if r["handle"] is not None], default=0) + 1
@@ -61,7 +61,7 @@ def content(rows: list[dict[str, Any]], objects: list[dict[str, Any]], page: int
             attribs.setdefault(r["owner"], []).append(r["handle"])
 
     def add(f: dict[str, Any]) -> None:
-        out.append((f["handle"], records.TYPE_CODES[f["type_name"]], records.write(f, text)))
+        out.append((f["handle"], records.TYPE_CODES[f["type_name"]], records.write(f, text, version)))
 
     for r in rows:
         f = fields(r) if (r["handle"] or 0) > 0 else None
@@ -89,11 +89,11 @@ def content(rows: list[dict[str, Any]], objects: list[dict[str, Any]], page: int
             left += 1
         else:
             add({k: v for k, v in f.items() if v is not None})
-    return dwg.write(out, codepage=page), left
+    return dwg.write(out, version, page), left
 
 
-def write(entities: DataFrame, layers: DataFrame, blocks: DataFrame, page: int = 30) -> DataFrame:
-    """(doc_id, content, left_out): one file a drawing that has any row; ``page`` is the code page of its texts, in which
+def write(entities: DataFrame, layers: DataFrame, blocks: DataFrame, page: int = 30, version: str = "AC1015") -> DataFrame:
+    """(doc_id, content, left_out): one file a drawing that has any row; true colours need R2004 (AC1018). ``page`` is the code page of its texts, in which
     characters that it lacks become question marks."""
     none = F.lit(None)
     e = complete(entities).select("doc_id", F.struct(*[F.col(c) for c in ROW]).alias("e"), none.alias("o"))
@@ -105,7 +105,7 @@ def write(entities: DataFrame, layers: DataFrame, blocks: DataFrame, page: int =
     def run(batches):
         for batch in batches:
             for doc, rows, objects in zip(*(batch.column(i) for i in range(3))):
-                data, left = content(rows.as_py(), objects.as_py(), page)
+                data, left = content(rows.as_py(), objects.as_py(), page, version)
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()]), pa.array([data], pa.binary()), pa.array([left], pa.int64())], names=["doc_id", "content", "left_out"])
 
     return gathered.mapInArrow(run, "doc_id string, content binary, left_out long")

@@ -2,7 +2,7 @@
 
 Files are read as rows of bytes; one file is decoded in one task, several per Arrow batch, and rows leave typed. The
 directory and map of the uncompressed container family are read; of the other families the version and the unmasked
-header. Of R2000 files the records are decoded to the rows that JSON exports give; a record that cannot be decoded is an
+header. Of R2000 and R2004 files the records are decoded to the rows that JSON exports give; a record that cannot be decoded is an
 error row, never a lost file.
 """
 
@@ -22,14 +22,16 @@ from pyspark.sql.types import StructType
 from ..functions.text import codec, version_name
 from ..schema import P2
 from . import dwg_records as records
+from . import paged
 from .bits import BitReader, BitWriter, crc16, object_map
 from .json_drawings import with_vertices
 
 #: Releases whose container is the uncompressed section directory, and the directory's place.
 PLAIN = ("AC1012", "AC1014", "AC1015")
 DIRECTORY_AT = 0x15
-#: The release whose records are decoded.
-DECODED = "AC1015"
+#: The releases whose records are decoded, and the names of the sections that hold objects and their map.
+DECODED = ("AC1015", "AC1018")
+OBJECTS_SECTION, MAP_SECTION = "AcDb:AcDbObjects", "AcDb:Handles"
 ROWS_PER_BATCH = 5_000
 #: Rows of every kind of record; ``kind`` is entity, object or error.
 DECODED_ROWS = f"""doc_id string, seq int, kind string, type_name string, handle bigint, space string, owner bigint, layer bigint,
@@ -69,10 +71,18 @@ def map_chunks(data: bytes, at: int, size: int) -> Iterator[bytes]:
         at += n + 2
 
 
-def places(data: bytes) -> Iterator[tuple[int, int]]:
-    """(handle, offset) of each object."""
-    where = sections(data).get(2)
-    for chunk in map_chunks(data, *where) if where else ():
+def stores(data: bytes) -> tuple[bytes, bytes]:
+    """(object map, bytes that its offsets point into); empty for files without them. A damaged paged file raises."""
+    if data[:6].decode("latin-1") in paged.PAGED:
+        parts = paged.sections(data)
+        return parts.get(MAP_SECTION, b""), parts.get(OBJECTS_SECTION, b"")
+    at, size = sections(data).get(2, (0, 0))
+    return data[at : at + size], data
+
+
+def places(chunks: bytes) -> Iterator[tuple[int, int]]:
+    """(handle, offset) of each object of a map."""
+    for chunk in map_chunks(chunks, 0, len(chunks)):
         yield from object_map(chunk)
 
 
@@ -88,9 +98,13 @@ def frame(data: bytes, offset: int) -> tuple[int, int]:
 
 def frames(data: bytes) -> Iterator[tuple[int, int, int, int]]:
     """(handle, offset, size, type code) of each object; a record that leaves the file is left out."""
-    for handle, offset in places(data):
+    try:
+        chunks, body = stores(data)
+    except ValueError:
+        return
+    for handle, offset in places(chunks):
         try:
-            size, kind = frame(data, offset)
+            size, kind = frame(body, offset)
         except ValueError:
             continue
         yield handle, offset, size, kind
@@ -122,7 +136,7 @@ def row(f: dict[str, Any]) -> dict[str, Any]:
         points = [(f[f"x{i}"], f[f"y{i}"]) for i in indices if i < 4]
     turn = math.atan2(f["direction"][1], f["direction"][0]) if name == "MTEXT" else f.get("rotation") or 0.0
     closed = f.get("flags", 0) & (512 if name == "LWPOLYLINE" else 1)
-    out = {k: f.get(k) for k in ("handle", "owner", "layer", "color_index", "radius", "a0", "a1", "bulges", "text", "tag", "height", "block", "ratio", "degree", "knots", "weights", "name", "keys", "items")}
+    out = {k: f.get(k) for k in ("handle", "owner", "layer", "color_index", "radius", "a0", "a1", "bulges", "text", "tag", "height", "block", "ratio", "degree", "knots", "weights", "name", "keys", "items", "true_color")}
     axis = f.get("axis")
     out["block"] = out["block"] or None  # a null reference
     if name in records.DIMENSIONS:
@@ -144,19 +158,25 @@ def rows(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[dict[str,
     def error(reason: str, handle: int | None = None, name: str | None = None) -> dict[str, Any]:
         return {"kind": "error", "reason": reason, "handle": handle, "type_name": name}
 
-    if data[:6].decode("latin-1") != DECODED:
+    version = data[:6].decode("latin-1")
+    if version not in DECODED:
         yield error("no decoder for this release")
         return
+    try:
+        chunks, body = stores(data)
+    except ValueError:
+        yield error("damaged container")
+        return
     page = codec(int.from_bytes(data[0x13:0x15], "little"))
-    for seq, (handle, offset) in enumerate(places(data)):
+    for seq, (handle, offset) in enumerate(places(chunks)):
         name = None
         try:
-            code = frame(data, offset)[1]
+            code = frame(body, offset)[1]
             name = records.NAMES.get(code)
             if name is None:
                 yield error(f"no decoder for type {code}", handle) | {"seq": seq}
             elif kinds is None or name in kinds:
-                yield row(records.read(data, offset, page)) | {"seq": seq}
+                yield row(records.read(body, offset, page, version)) | {"seq": seq}
         except ValueError:
             yield error("damaged record", handle, name) | {"seq": seq}
 
@@ -210,12 +230,12 @@ def skipped(files: DataFrame) -> DataFrame:
 
 
 def write(contents: list[tuple[int, int, bytes]], version: str = "AC1015", codepage: int = 30) -> bytes:
-    """A plain container with records (handle, type code, payload) and their object map; the fixture for ``read``."""
+    """A container with records (handle, type code, payload) and their object map, plain or paged by the version."""
     head = bytearray(version.encode().ljust(DIRECTORY_AT, b"\0"))
     head[0x13:0x15] = codepage.to_bytes(2, "little")
     directory = 4 + 9 * 1
     body, starts = bytearray(), []
-    start = DIRECTORY_AT + directory
+    start = 0 if version in paged.PAGED else DIRECTORY_AT + directory
     for handle, kind, payload in sorted(contents):
         w = BitWriter()
         w.short(kind)
@@ -225,12 +245,23 @@ def write(contents: list[tuple[int, int, bytes]], version: str = "AC1015", codep
         n.modular_short(len(data))
         starts.append((handle, start + len(body)))
         body += n.done() + data + crc16(data).to_bytes(2, "little")
-    m, last = BitWriter(), (0, 0)
-    for handle, offset in starts:
-        m.modular(handle - last[0])
-        m.modular(offset - last[1], signed=True)
-        last = handle, offset
-    chunk = m.done()
-    framed = (len(chunk) + 2).to_bytes(2, "big") + chunk
-    framed += crc16(framed).to_bytes(2, "big") + b"\0\2"
+    framed = _map_bytes(starts)
+    if version in paged.PAGED:
+        return paged.write({OBJECTS_SECTION: bytes(body), MAP_SECTION: framed}, version, codepage)
     return bytes(head) + (1).to_bytes(4, "little") + bytes([2]) + (start + len(body)).to_bytes(4, "little") + len(framed).to_bytes(4, "little") + bytes(body) + framed
+
+
+def _map_bytes(starts: list[tuple[int, int]]) -> bytes:
+    """Chunks of an object map, each with sums of its own and of fewer than 2,000 bytes; and the empty one."""
+    out, at = bytearray(), 0
+    while at < len(starts):
+        m, last = BitWriter(), (0, 0)
+        while at < len(starts) and m.at < 8 * 2_000:
+            handle, offset = starts[at]
+            m.modular(handle - last[0])
+            m.modular(offset - last[1], signed=True)
+            last, at = (handle, offset), at + 1
+        chunk = m.done()
+        framed = (len(chunk) + 2).to_bytes(2, "big") + chunk
+        out += framed + crc16(framed).to_bytes(2, "big")
+    return bytes(out) + b"\0\2"

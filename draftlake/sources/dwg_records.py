@@ -1,4 +1,4 @@
-"""Payloads of the R2000 object records: one layout per type, read and written by the same function.
+"""Payloads of the R2000 and R2004 object records: one layout per type, read and written by the same function.
 
 A layout names fields in file order; ``Fields`` reads them into a dict or writes them from it. Points are kept by index
 (``x0``, ``y0``, ``z0``, …), in the order in which entity rows list them. References follow the fields at the bit that the
@@ -30,7 +30,8 @@ EMPTY = {"flag": False, "text": "", "extrusion": (0.0, 0.0, 1.0), "double": 0.0,
 
 
 class Fields:
-    def __init__(self, bits: BitReader | BitWriter, f: dict[str, Any], codepage: str = "latin-1"):
+    def __init__(self, bits: BitReader | BitWriter, f: dict[str, Any], codepage: str = "latin-1", later: bool = False):
+        self.later = later  # R2004
         self.bits, self.f, self.codepage, self.reading = bits, f, codepage, isinstance(bits, BitReader)
 
     def __call__(self, kind: str, name: str, *args, default: Any = None):
@@ -159,6 +160,8 @@ def _mtext(x: Fields) -> None:
     x("short", "spacing_style")
     x("double", "spacing", default=1.0)
     x("flag", "unknown")
+    if x.later and not x.reading:
+        x("long", "background")
 
 
 def _insert(x: Fields) -> None:
@@ -176,7 +179,8 @@ def _insert(x: Fields) -> None:
         x.f["sy"] = x.f["sz"] = x.f["sx"]
     x("double", "rotation")
     x("point3", "extrusion", default=(0.0, 0.0, 1.0))
-    x("flag", "has_attribs")
+    if x("flag", "has_attribs") and x.later:
+        x("long", "n_owned", default=max(0, len(x.f.get("parts") or ()) - 1))
 
 
 def _minsert(x: Fields) -> None:
@@ -224,11 +228,18 @@ def _polyline_2d(x: Fields) -> None:
     x("thickness", "thickness")
     x("double", "elevation")
     x("extrusion", "extrusion")
+    _owned(x)
+
+
+def _owned(x: Fields) -> None:
+    if x.later:
+        x("long", "n_owned", default=max(0, len(x.f.get("parts") or ()) - 1))
 
 
 def _polyline_3d(x: Fields) -> None:
     x("u8", "curve")
     x("u8", "flags", default=int(bool(x.f.get("closed"))))
+    _owned(x)
 
 
 def _shorts(*names: str) -> Callable[[Fields], None]:
@@ -384,6 +395,8 @@ def _lwpolyline(x: Fields) -> None:
 def _hatch(x: Fields) -> None:
     """Elevation to boundary loops, which are written as polylines of a solid fill. Of loops of edges the starts of lines
     are kept. What follows the loops is not read."""
+    if x.later:
+        _gradient(x)
     x("double", "elevation")
     x("point3", "extrusion", default=(0.0, 0.0, 1.0))
     x("text", "name", default="SOLID")
@@ -410,6 +423,21 @@ def _hatch(x: Fields) -> None:
     x("long", "n_seeds")
 
 
+def _gradient(x: Fields) -> None:
+    x("long", "gradient")
+    x("long", "reserved")
+    x("double", "gradient_angle")
+    x("double", "gradient_shift")
+    x("long", "one_colour")
+    x("double", "tint")
+    for i in x.count("n_colours", 0):
+        x("double", f"place{i}")
+        x("short", f"index{i}")
+        x("long", f"rgb{i}")
+        x("u8", f"form{i}")
+    x("text", "gradient_name")
+
+
 def _loop(r: BitReader) -> tuple[list[tuple[float, float]], list[float]]:
     points, bulges = [], []
     if r.long() & 2:
@@ -460,7 +488,15 @@ def _layer(x: Fields) -> None:
     x("short", "xref")
     x("flag", "dependent")
     x("short", "values")
-    x("short", "color_index", default=7)
+    if not x.later:
+        x("short", "color_index", default=7)
+        return
+    # the highest byte of the colour says what the rest is: 0xC3 an index, 0xC2 red, green and blue. Fixed values.
+    x("short", "unused_index")
+    value = x("long", "colour", default=0xC3 << 24 | (7 if x.f.get("color_index") is None else x.f["color_index"]))
+    x("u8", "named")
+    x.f["color_index"] = value & 0xFF if value >> 24 == 0xC3 else 256
+    x.f["true_color"] = value & 0xFFFFFF if value >> 24 == 0xC2 else None
 
 
 def _block_header(x: Fields) -> None:
@@ -469,6 +505,7 @@ def _block_header(x: Fields) -> None:
     x("short", "xref")
     for name in ("dependent", "anonymous", "has_attribs", "external", "overlaid", "loaded"):
         x("flag", name)
+    _owned(x)
     x.xyz(0)
     x("text", "path")
     while x("u8", "insert"):  # one byte an insert, ended by zero
@@ -510,10 +547,22 @@ def _extended_data(r: BitReader) -> None:
         r.raw(n)
 
 
-def read(data: bytes, offset: int, codepage: str = "latin-1") -> dict[str, Any] | None:
+def _colour(r: BitReader, f: dict[str, Any]) -> bool:
+    """R2004: an index with flags in its high bits (alpha, book, red-green-blue); whether a book names the colour."""
+    raw = r.short()
+    f["color_index"] = raw & 0x1FF
+    if raw & 0x2000:
+        r.long()
+    if raw & 0xC000 == 0x8000:
+        f["true_color"] = r.long() & 0xFFFFFF
+    return bool(raw & 0x4000)
+
+
+def read(data: bytes, offset: int, codepage: str = "latin-1", version: str = "AC1015") -> dict[str, Any] | None:
     """The fields and references of the record at an offset, or None for a type without a layout.
 
     Damaged records raise ValueError: a number past the record's end, an impossible count, a reference of nine bytes.
+    The layer of a colour-book entity is left out, as its place among the references is not settled.
     """
     r = BitReader(data, 8 * offset)
     size = r.modular_short()
@@ -527,15 +576,22 @@ def read(data: bytes, offset: int, codepage: str = "latin-1") -> dict[str, Any]
     refs_at = start + r.u32()
     handle = r.handle()[1]
     _extended_data(r)
+    later = version == "AC1018"
     f: dict[str, Any] = {"type_name": name, "handle": handle, "mode": 2}
+    bare = book = False
     if name in OBJECTS:
         f["reactors"] = r.long()
+        bare = later and r.flag()
     else:
         if r.flag():
             r.raw(r.u32())
-        f["mode"], f["reactors"], alone, f["color_index"], f["line_scale"] = r.bits(2), r.long(), r.flag(), r.short(), r.double()
-        line_form, plot_form, f["invisible"], f["weight"] = r.bits(2), r.bits(2), r.short(), r.u8()
-    LAYOUTS[name](Fields(r, f, codepage))
+        f["mode"], f["reactors"] = r.bits(2), r.long()
+        if later:
+            bare, alone, book = r.flag(), True, _colour(r, f)
+        else:
+            alone, f["color_index"] = r.flag(), r.short()
+        f["line_scale"], line_form, plot_form, f["invisible"], f["weight"] = r.double(), r.bits(2), r.bits(2), r.short(), r.u8()
+    LAYOUTS[name](Fields(r, f, codepage, later))
     if not start < refs_at <= r.end:
         raise ValueError(f"references at bit {refs_at - start} of {8 * size}")
     r.at = refs_at
@@ -548,7 +604,8 @@ def read(data: bytes, offset: int, codepage: str = "latin-1") -> dict[str, Any]
         raise ValueError(f"{f['reactors']} reactors")
     for _ in range(f["reactors"]):
         ref()
-    ref()  # the extension dictionary, null where there is none
+    if not bare:
+        ref()  # the extension dictionary, null where there is none
     if name == "DICTIONARY":
         f["items"] = [ref() for _ in f["keys"]]
     if name in OBJECTS:
@@ -563,32 +620,40 @@ def read(data: bytes, offset: int, codepage: str = "latin-1") -> dict[str, Any]
         ref()  # the style
     if name in ("INSERT", "MINSERT") or name in DIMENSIONS:
         f["block"] = ref()
+    if book:
+        f["layer"] = f["block"] = None
     return f
 
 
-def write(f: dict[str, Any], codepage: str = "latin-1") -> bytes:
+def write(f: dict[str, Any], codepage: str = "latin-1", version: str = "AC1015") -> bytes:
     """The payload after the type code of a record with these fields; ``read`` gives them back."""
-    f, name = dict(f), f["type_name"]
+    f, name, later = dict(f), f["type_name"], version == "AC1018"
     w, mode = BitWriter(), f.get("mode", 2)
     w.handle(0, f["handle"])
     w.short(0)
     if name in OBJECTS:
         w.long(0)
+        if later:
+            w.flag(True)
     else:
         w.flag(False)
         w.bits(mode, 2)
         w.long(0)
-        w.flag(True)
-        w.short(256 if f.get("color_index") is None else f["color_index"])
+        w.flag(True)  # R2000: no entity before and after; R2004: no extension dictionary
+        index, rgb = 256 if f.get("color_index") is None else f["color_index"], f.get("true_color")
+        w.short(index if rgb is None or not later else 0x8000 | index)
+        if later and rgb is not None:
+            w.long(0xC2 << 24 | rgb)
         w.double(1.0 if f.get("line_scale") is None else f["line_scale"])
         w.bits(0, 4)
         w.short(f.get("invisible") or 0)
         w.u8(29 if f.get("weight") is None else f["weight"])  # 29: by layer
-    LAYOUTS[name](Fields(w, f, codepage))
+    LAYOUTS[name](Fields(w, f, codepage, later))
     refs_at = w.at
     if name in OBJECTS or mode == 0:
         w.handle(4, f.get("owner") or 0)
-    w.handle(3, 0)
+    if not later:
+        w.handle(3, 0)
     for h in f.get("items") or ():
         w.handle(2, h)
     if name not in OBJECTS:

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from draftlake.operators import tessellate
 from draftlake.sinks import dwg as dwg_sink
-from draftlake.sources import dwg, json_drawings
+from draftlake.sources import dwg, json_drawings, paged
 from draftlake.sources import dwg_records as records
 
 value = st.sampled_from([0.0, 1.0, -2.5, 1e9, 0.1, 123456.789])
 
 
-@settings(max_examples=120, deadline=None)
-@given(st.sampled_from(sorted(records.LAYOUTS)), st.lists(st.tuples(value, value), min_size=6, max_size=9), st.integers(1, 1 << 40), st.integers(0, 2), st.data())
-def test_every_layout(name, points, handle, mode, data):
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(sorted(records.LAYOUTS)), st.lists(st.tuples(value, value), min_size=6, max_size=9), st.integers(1, 1 << 40), st.integers(0, 2), st.sampled_from(dwg.DECODED), st.data())
+def test_every_layout(name, points, handle, mode, version, data):
     """What is written reads back, for every type; defaults read back as well."""
     f = {"type_name": name, "handle": handle}
     if name not in records.OBJECTS:
@@ -27,7 +27,7 @@ def test_every_layout(name, points, handle, mode, data):
         f |= {"owner": 99} if mode == 0 else {}
     f |= {"text": "a\\Pé"} if name in ("TEXT", "MTEXT", "ATTRIB") else {}
     counts = {"LINE": 2, "RAY": 2, "XLINE": 2, "SOLID": 4, "TRACE": 4, "3DFACE": 4, "LWPOLYLINE": 9, "LEADER": 9, "MLINE": 9, "SPLINE": 9, "BLOCK_HEADER": 1, "VERTEX_PFACE_FACE": 0, "BLOCK": 0, "ENDBLK": 0, "SEQEND": 0}
-    n = 3 if name.startswith("DIM_") else 0 if name.startswith("POLYLINE") or name in ("HATCH", "LAYER", "DICTIONARY") else counts.get(name, 1)
+    n = 1 if name in ("DIM_RADIUS", "DIM_DIAMETER") else 3 if name.startswith("DIM_") else 0 if name.startswith("POLYLINE") or name in ("HATCH", "LAYER", "DICTIONARY") else counts.get(name, 1)
     for i, (x, y) in enumerate(points[:n]):
         f |= {f"x{i}": x, f"y{i}": y}
     if name == "HATCH":
@@ -38,9 +38,9 @@ def test_every_layout(name, points, handle, mode, data):
         f |= dict(zip(("sx", "sy", "sz"), data.draw(st.sampled_from([(1.0, 1.0, 1.0), (2.0, 2.0, 2.0), (1.0, -1.0, 1.0), (2.0, 3.0, 4.0)])))) | {"block": 7}
     if name == "SPLINE" and data.draw(st.booleans()):
         f = {k: v for k, v in f.items() if k[0] not in "xy"} | {"control": [(*p, 0.0) for p in points], "knots": [0.0, 1.0], "weights": [1.5] * len(points)}
-    content = dwg.write([(handle, records.TYPE_CODES[name], records.write(f))])
+    content = dwg.write([(handle, records.TYPE_CODES[name], records.write(f, version=version))], version)
     ((got_handle, offset, _, code),) = dwg.frames(content)
-    got = records.read(content, offset)
+    got = records.read(dwg.stores(content)[1], offset, version=version)
     assert got_handle == handle and records.NAMES[code] == name
     assert {k: got.get(k) for k in f} == f
 
@@ -59,9 +59,10 @@ def test_bits_of_a_line():
     assert {k: got[k] for k in ("handle", "mode", "layer", "owner", "color_index", "x0", "y0", "x1", "y1")} == {"handle": 42, "mode": 2, "layer": 16, "owner": 0, "color_index": 256, "x0": 1.0, "y0": 2.0, "x1": -7.25, "y1": 2.0}
 
 
-def test_damage_gives_error_rows():
+@pytest.mark.parametrize("version", dwg.DECODED)
+def test_damage_gives_error_rows(version):
     """Any flipped byte or cut leaves the other records readable and never raises."""
-    good = dwg.write([(k, records.TYPE_CODES["LINE"], records.write({"type_name": "LINE", "handle": k, "x0": float(k), "y0": 0.0, "x1": 1.0, "y1": 1.0, "layer": 1})) for k in range(1, 21)] + [(50, 500, b"\0\0")])
+    good = dwg.write([(k, records.TYPE_CODES["LINE"], records.write({"type_name": "LINE", "handle": k, "x0": float(k), "y0": 0.0, "x1": 1.0, "y1": 1.0, "layer": 1}, version=version)) for k in range(1, 21)] + [(50, 500, b"\0\0")], version)
     assert [r["kind"] for r in dwg.rows(good)] == ["entity"] * 20 + ["error"]
     draw = random.Random(5)
     for _ in range(300):
@@ -69,6 +70,8 @@ def test_damage_gives_error_rows():
         for _ in range(draw.randrange(1, 6)):
             bad[draw.randrange(0x1E, len(bad))] = draw.randrange(256)
         assert all(r["kind"] in ("entity", "object", "error") for r in dwg.rows(bytes(bad[: draw.randrange(0x22, len(bad))] if draw.random() < 0.3 else bad)))
+    if version in paged.PAGED:
+        return
     one = bytearray(good)
     at = next(o for h, o, _, _ in dwg.frames(good) if h == 7)
     one[at + 1] = 0xFF
@@ -104,10 +107,11 @@ def drawing(spark):
     return json_drawings.parse(spark.createDataFrame([("d", text)], "doc_id string, value string"))
 
 
-def test_json_to_dwg_and_back(drawing):
+@pytest.mark.parametrize("version", dwg.DECODED)
+def test_json_to_dwg_and_back(drawing, version):
     """Every row of a drawing, its layers and blocks, and its strokes and labels, written as a binary drawing and read again."""
     e = json_drawings.entities(drawing)
-    files = dwg_sink.write(e, json_drawings.layers(drawing), json_drawings.blocks(drawing), page=39)
+    files = dwg_sink.write(e, json_drawings.layers(drawing), json_drawings.blocks(drawing), page=39, version=version).cache()
     assert files.first()["left_out"] == 0
     back = dwg.entities(files)
     columns = ("handle", "type_name", "space", "owner", "layer", "color_index", "points", "radius", "text", "tag", "height", "rotation", "block", "sx", "sy", "paths")
@@ -119,6 +123,32 @@ def test_json_to_dwg_and_back(drawing):
     assert dwg.decode_errors(files).count() == 0
 
 
+def test_paged_sections():
+    """Sections of no, one and several pages, through masks, maps and compression; gaps and missing pages."""
+    draw = random.Random(3)
+    parts = {"AcDb:Empty": b"", "AcDb:One": b"x" * 100, "AcDb:Many": bytes(draw.choices(b"abc\0", k=70_000)) + draw.randbytes(40_000)}
+    good = paged.write(parts, "AC1024", 30)
+    assert paged.sections(good) == parts
+    for cut in (0x90, 0x120, len(good) // 2, len(good) - 5):
+        with pytest.raises(ValueError):
+            paged.sections(good[:cut])
+
+
+def test_true_colours(spark, drawing):
+    e = json_drawings.entities(drawing).withColumn("true_color", F.lit(0x123456).cast("bigint"))
+    layers = spark.createDataFrame([], "doc_id string, layer_handle bigint, name string, aci int")
+    files = dwg_sink.write(e, layers, json_drawings.blocks(drawing), version="AC1018")
+    assert {r["true_color"] for r in dwg.entities(files).collect()} == {0x123456}
+
+
+def test_many_objects():
+    """An object map of several chunks."""
+    rows = [(3 * k, records.TYPE_CODES["ENDBLK"], records.write({"type_name": "ENDBLK", "handle": 3 * k})) for k in range(1, 3_000)]
+    content = dwg.write(rows)
+    assert len(list(dwg.map_chunks(dwg.stores(content)[0], 0, 1 << 30))) > 2
+    assert [r["handle"] for r in dwg.rows(content)] == [h for h, _, _ in rows]
+
+
 def test_other_files(spark):
     files = spark.createDataFrame([("new", b"AC1032" + bytes(200)), ("none", b""), ("null", None), ("no map", b"AC1015" + bytes(200))], "doc_id string, content binary")
     assert {(r["doc_id"], r["reason"], r["n"]) for r in dwg.skipped(files).collect()} == {("new", "no decoder for this release", 1), ("none", "no decoder for this release", 1)}
