@@ -31,7 +31,8 @@ PLAIN = ("AC1012", "AC1014", "AC1015")
 DIRECTORY_AT = 0x15
 #: The releases whose records are decoded, and the names of the sections that hold objects and their map.
 DECODED = ("AC1015", "AC1018")
-OBJECTS_SECTION, MAP_SECTION = "AcDb:AcDbObjects", "AcDb:Handles"
+OBJECTS_SECTION, MAP_SECTION, CLASSES_SECTION = "AcDb:AcDbObjects", "AcDb:Handles", "AcDb:Classes"
+CLASSES_MARK = bytes.fromhex("8da1c4b8c4a9f8c5c0dcf45fe7cfb68a")
 ROWS_PER_BATCH = 5_000
 #: Rows of every kind of record; ``kind`` is entity, object or error.
 DECODED_ROWS = f"""doc_id string, seq int, kind string, type_name string, handle bigint, space string, owner bigint, layer bigint,
@@ -80,6 +81,53 @@ def stores(data: bytes) -> tuple[bytes, bytes]:
     return data[at : at + size], data
 
 
+def class_names(data: bytes) -> dict[int, str]:
+    """Type code to class name, of the types that a file defines itself; empty for a file without the section.
+
+    An entry cut off by the section's end ends the list. A section without its mark raises.
+    """
+    is_paged = data[:6].decode("latin-1") in paged.PAGED
+    at, size = sections(data).get(1, (0, 0))
+    content = paged.sections(data).get(CLASSES_SECTION, b"") if is_paged else data[at : at + size]
+    if not content:
+        return {}
+    if not content.startswith(CLASSES_MARK):
+        raise ValueError("no classes")
+    r, out = BitReader(content, 8 * len(CLASSES_MARK)), {}
+    r.end = min(r.end, r.at + 32 + 8 * r.u32())
+    if is_paged:
+        r.short(), r.u8(), r.u8(), r.flag()  # the largest number and three fixed fields
+    try:
+        while r.at + 8 < r.end:
+            code, _, _, _, name = r.short(), r.short(), r.text(), r.text(), r.text()
+            r.flag(), r.short()
+            if is_paged:
+                for _ in range(5):  # objects, version, maintenance release and two fixed fields
+                    r.long()
+            if name:
+                out[code] = name
+    except ValueError:
+        pass
+    return out
+
+
+def classes(files: DataFrame) -> DataFrame:
+    """(doc_id, type_code, name): the classes of each file, for ``operators.resolve.with_type_name``. Files of releases
+    whose records are not decoded, and damaged sections, give none."""
+
+    def run(batches):
+        for b in batches:
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1)):
+                content = data.as_py() or b""
+                try:
+                    names = class_names(content) if content[:6].decode("latin-1") in DECODED else {}
+                except ValueError:
+                    names = {}
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(names), pa.string()), pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())], names=["doc_id", "type_code", "name"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id string, type_code long, name string")
+
+
 def places(chunks: bytes) -> Iterator[tuple[int, int]]:
     """(handle, offset) of each object of a map."""
     for chunk in map_chunks(chunks, 0, len(chunks)):
@@ -167,6 +215,10 @@ def rows(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[dict[str,
     except ValueError:
         yield error("damaged container")
         return
+    try:
+        own = class_names(data)
+    except ValueError:
+        own = {}
     page = codec(int.from_bytes(data[0x13:0x15], "little"))
     for seq, (handle, offset) in enumerate(places(chunks)):
         name = None
@@ -174,7 +226,7 @@ def rows(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[dict[str,
             code = frame(body, offset)[1]
             name = records.NAMES.get(code)
             if name is None:
-                yield error(f"no decoder for type {code}", handle) | {"seq": seq}
+                yield error(f"no decoder for type {code}", handle, own.get(code)) | {"seq": seq}
             elif kinds is None or name in kinds:
                 yield row(records.read(body, offset, page, version)) | {"seq": seq}
         except ValueError:
@@ -229,11 +281,12 @@ def skipped(files: DataFrame) -> DataFrame:
     return decode_errors(files).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
 
 
-def write(contents: list[tuple[int, int, bytes]], version: str = "AC1015", codepage: int = 30) -> bytes:
-    """A container with records (handle, type code, payload) and their object map, plain or paged by the version."""
+def write(contents: list[tuple[int, int, bytes]], version: str = "AC1015", codepage: int = 30, own: dict[int, str] | None = None) -> bytes:
+    """A container with records (handle, type code, payload), their object map and the names of classes, plain or paged
+    by the version."""
     head = bytearray(version.encode().ljust(DIRECTORY_AT, b"\0"))
     head[0x13:0x15] = codepage.to_bytes(2, "little")
-    directory = 4 + 9 * 1
+    directory = 4 + 9 * 2
     body, starts = bytearray(), []
     start = 0 if version in paged.PAGED else DIRECTORY_AT + directory
     for handle, kind, payload in sorted(contents):
@@ -245,10 +298,33 @@ def write(contents: list[tuple[int, int, bytes]], version: str = "AC1015", codep
         n.modular_short(len(data))
         starts.append((handle, start + len(body)))
         body += n.done() + data + crc16(data).to_bytes(2, "little")
-    framed = _map_bytes(starts)
+    framed, named = _map_bytes(starts), _class_bytes(own or {}, version in paged.PAGED)
     if version in paged.PAGED:
-        return paged.write({OBJECTS_SECTION: bytes(body), MAP_SECTION: framed}, version, codepage)
-    return bytes(head) + (1).to_bytes(4, "little") + bytes([2]) + (start + len(body)).to_bytes(4, "little") + len(framed).to_bytes(4, "little") + bytes(body) + framed
+        return paged.write({OBJECTS_SECTION: bytes(body), MAP_SECTION: framed, CLASSES_SECTION: named}, version, codepage)
+    listed = b"".join(bytes([n]) + at.to_bytes(4, "little") + len(part).to_bytes(4, "little") for n, at, part in ((1, start + len(body), named), (2, start + len(body) + len(named), framed)))
+    return bytes(head) + (2).to_bytes(4, "little") + listed + bytes(body) + named + framed
+
+
+def _class_bytes(own: dict[int, str], is_paged: bool) -> bytes:
+    if not own:
+        return b""
+    w = BitWriter()
+    if is_paged:
+        w.short(max(own))
+        w.u8(0)
+        w.u8(0)
+        w.flag(True)
+    for code, name in own.items():
+        w.short(code)
+        w.short(0)
+        for text in ("ObjectDBX Classes", "", name):
+            w.text(text)
+        w.flag(False)
+        w.short(0x1F3)  # fixed value: a class of objects
+        for _ in range(5 if is_paged else 0):
+            w.long(0)
+    content = w.done()
+    return CLASSES_MARK + len(content).to_bytes(4, "little") + content
 
 
 def _map_bytes(starts: list[tuple[int, int]]) -> bytes:

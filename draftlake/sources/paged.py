@@ -64,12 +64,14 @@ def sections(data: bytes) -> dict[str, bytes]:
     content = _map(data, pages[map_page], SECTION_MAP)
     at, out = 20, {}
     for _ in range(_ints(content, 0, 1)[0]):
-        size, count, most, _, form, _, secret = struct.unpack_from("<Q6I", content.ljust(at + 96, b"\0"), at)
+        if at + 96 > len(content):
+            raise ValueError("section map cut off")
+        size, count, most, _, form, _, secret = struct.unpack_from("<Q6I", content, at)
         name = content[at + 32 : at + 96].split(b"\0")[0].decode("latin-1")
         at += 96
-        if most > LARGEST_PAGE or count > len(pages):
+        if most > LARGEST_PAGE or count > len(pages) or at + 16 * count > len(content):
             raise ValueError(f"section {name} of {count} pages of {most}")
-        parts = [struct.unpack("<IIQ", content[at + 16 * i : at + 16 * i + 16].ljust(16, b"\0")) for i in range(count)]
+        parts = [struct.unpack_from("<IIQ", content, at + 16 * i) for i in range(count)]
         at += 16 * count
         if name and secret != 1:
             out[name] = _assembled(data, pages, parts, min(size, most * count), most, form == 2)

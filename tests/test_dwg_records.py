@@ -149,6 +149,17 @@ def test_many_objects():
     assert [r["handle"] for r in dwg.rows(content)] == [h for h, _, _ in rows]
 
 
+@pytest.mark.parametrize("version", dwg.DECODED)
+def test_classes(spark, version):
+    """Names of a file's own types; records of these types are error rows that carry the name."""
+    own = {500: "ACDBDICTIONARYWDFLT", 501: "", 777: "IMAGE", 40_000: "LAYOUT"}
+    content = dwg.write([(5, 777, b"abc"), (9, 778, b"abc")], version, own=own)
+    files = spark.createDataFrame([("d", content), ("cut", content[:-9]), ("new", b"AC1032")], "doc_id string, content binary")
+    assert {(r["type_code"], r["name"]) for r in dwg.classes(files).where("doc_id = 'd'").collect()} == {(k, v) for k, v in own.items() if v}
+    assert [(r["handle"], r["type_name"], r["reason"]) for r in dwg.rows(content)] == [(5, "IMAGE", "no decoder for type 777"), (9, None, "no decoder for type 778")]
+    assert dwg.class_names(dwg.write([(1, 5, b"")], version)) == {}
+
+
 def test_other_files(spark):
     files = spark.createDataFrame([("new", b"AC1032" + bytes(200)), ("none", b""), ("null", None), ("no map", b"AC1015" + bytes(200))], "doc_id string, content binary")
     assert {(r["doc_id"], r["reason"], r["n"]) for r in dwg.skipped(files).collect()} == {("new", "no decoder for this release", 1), ("none", "no decoder for this release", 1)}
