@@ -5,8 +5,8 @@ is filed under its minimizer: the gram of GRAM bytes inside it with the smallest
 minimizers, so shards by minimizer never split equal windows. Neighbouring windows under one minimizer form a segment;
 equal segments are copies as a whole: of these all but the first are removed without another look, already inside
 each batch before anything is shuffled, which is what keeps hot passages from meeting in one task. Where one minimizer
-has segments that differ, the first copies' bytes go to the minimizer's shard, whose suffix array is induced; windows
-are equal where neighbours in the array share 100 bytes, and all but the first of those are removed. A minimizer with
+has segments that differ, the first copies' bytes go to the minimizer's shard, where suffix arrays over a bounded share
+of its minimizers are induced; windows are equal where neighbours in the array share 100 bytes, and all but the first of those are removed. A minimizer with
 more than HOT_BYTES of such segments (a short phrase in very many contexts) is divided first, by the minimizers that
 other hash functions choose in each window; equal windows agree in these as well.
 
@@ -37,6 +37,10 @@ PIECE = 1 << 18
 SHARD_BYTES, MIN_SHARDS = 16 << 20, 96
 #: Bytes of one minimizer's segments that stay together; for each HOT_FACTOR times as much one more minimizer divides them.
 HOT_BYTES, HOT_FACTOR = 2 << 20, 64
+#: Bytes of segments in one suffix array; a minimizer with more of them is divided in its task, by so many further ones at most.
+SORT_BYTES, MAX_DIVISIONS = 1 << 19, 4
+#: Windows whose digests are compared at once.
+SINGLE_WINDOWS = 1 << 20
 #: The longest segment: a minimizer's windows reach over so many starts.
 _REACH = WINDOW - GRAM + 1
 _NONE = -(1 << 63)
@@ -100,7 +104,7 @@ def segments(texts: list[bytes], hasher: Hasher, choice: int = 0) -> np.ndarray:
         sums = hasher.sums(raw, 0)
         grams = hasher.stretch(sums, np.arange(len(raw) - GRAM + 1), np.arange(GRAM, len(raw) + 1), 0)
         if choice:
-            grams = _mix(grams + np.uint64(choice) * np.uint64(0x9E3779B97F4A7C15))
+            grams = _mix(grams + np.uint64(choice * 0x9E3779B97F4A7C15 % (1 << 64)))
         least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         span = 1
         while 2 * span <= _REACH:
@@ -298,13 +302,94 @@ def repeated_windows(heads: np.ndarray, data: bytes) -> tuple[np.ndarray, np.nda
     return doc[later], tag[later], place[later]
 
 
+def _bounded(heads: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of segments, whole minimizers together, of at most SORT_BYTES unless one minimizer has more."""
+    order = np.argsort(heads["key"], kind="stable")
+    key = heads["key"][order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    ends = np.r_[first[1:], len(key)]
+    upto = np.cumsum(heads["len"][order].astype(np.int64))[ends - 1] if len(key) else first
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SORT_BYTES, "right")))
+        yield order[first[a] : ends[b - 1]]
+        a = b
+
+
+def _copies(key: np.ndarray, seg: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first of equal segments, and of their copies elsewhere."""
+    order = np.lexsort((heads["pos"], heads["tag"], heads["doc"], seg, key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (seg[order][1:] != seg[order][:-1])][: len(order)]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = (heads["doc"][order] != heads["doc"][first]) | (heads["tag"][order] != heads["tag"][first]) | (heads["pos"][order] != heads["pos"][first])
+    return order[new], order[later]
+
+
+def _cuts_of(heads: np.ndarray) -> tuple[list, list, list]:
+    return _cut_rows(heads["doc"], heads["tag"], heads["pos"], heads["pos"].astype(np.int64) + heads["len"])
+
+
+def _single_windows(heads: np.ndarray, texts: list[bytes], hasher: Hasher) -> Iterator[tuple[list, list, list]]:
+    """Cuts of segments taken as windows of their own, equal as a whole or not at all; a share of the digests at a time."""
+    turns = np.uint64(-(-int((heads["len"].astype(np.int64) - WINDOW + 1).sum()) // SINGLE_WINDOWS))
+    for turn in range(int(turns)):
+        keys, segs, rows = [], [], []
+        for data, which, starts, offsets in _pieces(texts):
+            raw = np.frombuffer(data, np.uint8)
+            at = np.arange(len(raw) - WINDOW + 1)
+            part = np.repeat(np.arange(len(which)), np.diff(starts))[: len(at)]
+            inside = at + WINDOW <= starts[part + 1]
+            at, part = at[inside], part[inside]
+            key = hasher.stretch(hasher.sums(raw, 0), at, at + WINDOW, 0)
+            own = key % turns == np.uint64(turn)
+            at, part, key = at[own], part[own], key[own]
+            h = heads[which[part]]
+            h["pos"] += (at - starts[part] + offsets[part]).astype(np.uint32)
+            h["len"] = WINDOW
+            keys.append(key)
+            segs.append(hasher.stretch(hasher.sums(raw, 1), at, at + WINDOW, 1))
+            rows.append(h)
+        h = np.concatenate(rows)
+        yield _cuts_of(h[_copies(np.concatenate(keys), np.concatenate(segs), h)[1]])
+
+
+def shard_cuts(heads: np.ndarray, data: bytes, hasher: Hasher | None = None, division: int = 0) -> Iterator[tuple[list, list, list]]:
+    """Cuts of a shard's segments, from one suffix array for each SORT_BYTES of them.
+
+    A minimizer with more is divided by further ones; segments that are equal then go as copies. What MAX_DIVISIONS
+    leave together is divided to single windows.
+    """
+    size = heads["len"].astype(np.int64)
+    starts = np.cumsum(size) - size
+    for part in _bounded(heads):
+        h = heads[part]
+        texts = [data[a : a + n] for a, n in zip(starts[part].tolist(), h["len"].tolist())]
+        if len(part) < 2 or size[part].sum() <= SORT_BYTES:
+            doc, tag, start = repeated_windows(h, b"".join(texts))
+            yield _cut_rows(doc, tag, start, start + WINDOW)
+            continue
+        hasher = hasher or Hasher()
+        if division == MAX_DIVISIONS:
+            yield from _single_windows(h, texts, hasher)
+            continue
+        x = segments(texts, hasher, 100 + division)
+        own = x["doc"]
+        h = h[own]
+        h["pos"] += x["pos"]
+        h["len"] = x["len"]
+        h["key"] = _mix(h["key"] ^ _mix(x["key"]))
+        stay, gone = _copies(h["key"], x["seg"], h)
+        yield _cuts_of(h[gone])
+        parts = [texts[i][p : p + n] for i, p, n in zip(own[stay].tolist(), x["pos"][stay].tolist(), x["len"][stay].tolist())]
+        yield from shard_cuts(h[stay], b"".join(parts), hasher, division + 1)
+
+
 def sorted_shards(segments_of_shards: DataFrame) -> DataFrame:
-    """Cuts from each shard's suffix array."""
+    """Cuts from each shard's suffix arrays."""
 
     def run(t: pa.Table) -> pa.Table:
         heads = np.frombuffer(b"".join(t["heads"].to_pylist()), _HEAD)
-        doc, tag, start = repeated_windows(heads, b"".join(t["bytes"].to_pylist()))
-        return pa.Table.from_batches([_batch("cut", _cut_rows(doc, tag, start, start + WINDOW))])
+        return pa.Table.from_batches([_batch("cut", c) for c in shard_cuts(heads, b"".join(t["bytes"].to_pylist()))])
 
     return segments_of_shards.groupBy("place").applyInArrow(run, _FOUND)
 

@@ -319,6 +319,35 @@ def test_suffix_dedup_hot(spark, monkeypatch):
         test_suffix_dedup_brute_force(spark)
 
 
+def test_suffix_dedup_bounded(monkeypatch):
+    """No suffix array outgrows SORT_BYTES, with many minimizers and with one; the cuts stay those of brute force."""
+    dice, sizes = random.Random(3), []
+    array = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t: sizes.append(len(t)) or array(t))
+    for minimizers, limits in ((40, (2000, 4, 1000)), (1, (2000, 4, 1000)), (1, (400, 1, 90))):
+        for name, x in zip(("SORT_BYTES", "MAX_DIVISIONS", "SINGLE_WINDOWS"), limits):
+            monkeypatch.setattr(suffix_dedup, name, x)
+        phrases = [bytes(dice.choices(b"abc def", k=dice.choice((90, 99, 100, 110)))) for _ in range(minimizers)]
+        texts = [bytes(dice.choices(b"xy", k=12)) + phrases[i % minimizers] + bytes(dice.choices(b"xy", k=dice.choice((3, 12, 40)))) for i in range(320)]
+        heads = np.zeros(len(texts) + 20, suffix_dedup._HEAD)
+        for c, v in (("doc", np.arange(320) // 3), ("pos", np.arange(320) % 3 * 1000), ("len", [len(t) for t in texts]), ("key", np.arange(320) % minimizers)):
+            heads[c][:320] = v
+        heads[320:], texts = heads[:20], texts + texts[:20]  # repeated rows
+        places, expected, got = defaultdict(set), defaultdict(set), defaultdict(set)
+        for h, t in zip(heads, texts):
+            for p in range(len(t) - 99):
+                places[t[p : p + 100]].add((int(h["doc"]), int(h["pos"]) + p))
+        for same in places.values():
+            for doc, p in sorted(same)[1:]:
+                expected[doc].update(range(p, p + 100))
+        sizes.clear()
+        for docs, _, rows in suffix_dedup.shard_cuts(heads, b"".join(texts)):
+            for doc, r in zip(docs, rows):
+                for a, b in np.frombuffer(r, "<u4").reshape(-1, 2).tolist():
+                    got[doc].update(range(a, b))
+        assert got == expected and expected and max(sizes, default=0) <= 1.1 * limits[0]
+
+
 def test_suffix_array():
     """Against sorted suffixes; the recursion goes several levels deep in repeated texts."""
     dice = random.Random(5)
