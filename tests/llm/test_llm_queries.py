@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from draftlake.llm import common, cotraining, decontaminate, language_model, near_duplicates, quality_rules, secrets, suffix_dedup, token_records, unigram, url_filters
+from draftlake.llm import common, components, cotraining, decontaminate, language_model, near_duplicates, quality_rules, secrets, suffix_dedup, token_records, unigram, url_filters
 from draftlake.llm.queries import ORACLE_SQL, QUERIES
 from draftlake.llm.suffix_sort import suffix_array
 
@@ -246,6 +246,34 @@ def labels_of(nodes, links):
             return label
 
 
+def test_components_of_dense_groups(spark, monkeypatch):
+    """The rounds work on at most two rows a node, whatever the number of links in its group; several tasks agree."""
+    dice = random.Random(4)
+    pairs = [tuple(dice.sample(range(g * 100, g * 100 + 60), 2)) for g in range(5) for _ in range(900)]
+    pairs += [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (None, 8), (9, None), (1060, 30)]
+    label = {n: n for p in pairs if None not in p and p[0] != p[1] for n in p}
+    for _ in label:
+        for a, b in pairs:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    links, sizes = spark.createDataFrame(pairs, "a long, b long"), []
+    keep = components.written
+
+    def spy(df, name):
+        out = keep(df, name)
+        if df.columns == ["node", "other"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", spy)
+    assert dict(map(tuple, components.components(links).collect())) == label
+    assert sizes == [2 * (len(label) - len(set(label.values())))]
+    monkeypatch.setattr(components, "TASK_LINKS", 1500)
+    monkeypatch.setattr(components, "TASK_NODES", 40)
+    assert dict(map(tuple, components.components(links).collect())) == label
+    assert components.components(links.limit(0)).count() == 0
+
+
 def test_near_duplicates_blocks(spark, monkeypatch):
     """A group whose copies are mostly apart, over many small packs and blocks, against all pairs."""
     texts = dict(enumerate(near_copies(260, 11) + near_copies(40, 12) + [prose(80, 100 + k) for k in range(40)]))
