@@ -16,6 +16,7 @@ text and each row is a record; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -82,11 +83,15 @@ def tokenizer(path: str):
 
 #: Where a word ends in one full stop or comma: a token ends there, whatever the word.
 _STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:\s|$))")
+#: The pattern by which the tokenizer splits words, and the same for lower-cased words of visible ASCII.
+_SPLIT, _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_VISIBLE = re.compile(rb"[!-@\[-~]+")
 
 
 class WordCachingEncoder:
     """Ids of whole texts. No token crosses white space, letters lose their case and a stop after a letter is a token of
-    its own, so texts are encoded word by word and each word once; a text that may hold a special token, and every text
+    its own, so texts are encoded word by word and each word once; pieces of ASCII words go to the model itself if the
+    tokenizer has the pattern above, as no token crosses them and they need no other step; a text that may hold a special token, and every text
     with ``by_words=False``, goes to the library whole."""
 
     def __init__(self, path: str, by_words: bool = True):
@@ -95,6 +100,9 @@ class WordCachingEncoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"].get("pretokenizers") or []
+        self.by_pieces = len(steps) == 2 and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
 
     def pack(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -114,7 +122,14 @@ class WordCachingEncoder:
                 if len(known) > CACHE_WORDS:
                     known.clear()
                     new = list(set(words))
-                for w, e in zip(new, encode([w.decode() for w in new], add_special_tokens=False)):
+                split = {w: _PIECES.findall(w) for w in new if _VISIBLE.fullmatch(w)} if self.by_pieces else {}
+                for p in {p for pieces in split.values() for p in pieces if p not in known}:
+                    known[p] = self.pack([x.id for x in self.model.tokenize(p.decode())])
+                for w, pieces in split.items():
+                    if len(pieces) > 1:
+                        known[w] = b"".join([known[p] for p in pieces])
+                whole = [w for w in new if w not in split]
+                for w, e in zip(whole, encode([w.decode() for w in whole], add_special_tokens=False)):
                     known[w] = self.pack(e.ids)
             yield b"".join(map(known.__getitem__, words))
 

@@ -114,6 +114,20 @@ def test_records_round_trip(odd, empty, spark):
     assert token_records.summarize(spark, token_records.write(empty, path)).count() == 0
 
 
+def test_records_words_from_pieces():
+    """ASCII words are encoded by the model from their pieces, to the ids that the library gives for whole texts."""
+    path, dice = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    texts = ["".join(dice.choices("abst're'svlmd019 .,-_\"#(\n\x1c\x7féİ", k=400)) for _ in range(150)]
+    texts += [" ".join(f"{dice.choice(('id', 'Key', 'v'))}_{dice.getrandbits(60)}" for _ in range(200))]
+    encode, sent = token_records.WordCachingEncoder(path), []
+    exact = encode.tokenizer.encode_batch_fast
+    encode.tokenizer = type("Spy", (), {"encode_batch_fast": staticmethod(lambda x, **k: sent.extend(x) or exact(x, **k))})
+    assert list(encode([t.encode() for t in texts])) == [encode.pack(e.ids) for e in exact(texts, add_special_tokens=False)]
+    sent.clear()
+    list(encode([" ".join(f"id_{k}" for k in range(10**6, 10**6 + 3000)).encode()]))
+    assert not sent and len(encode.known) > 3000
+
+
 def test_records_detect_corruption(tmp_path):
     import io
 
