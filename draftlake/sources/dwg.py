@@ -1,6 +1,7 @@
 """Binary drawings as tables of bytes: version, section directory, object map and record frames.
 
-Files are read as rows of bytes; one file is decoded in one task, several per Arrow batch, and rows leave typed. The
+Files are read as rows of bytes. One task walks a file's object map and cuts its records out in runs of bounded size;
+these are dealt over all tasks, decoded a run at a time, and rows leave typed. The
 directory and map of the uncompressed container family are read; of the other families the version and the unmasked
 header. Of R2000 and R2004 files the records are decoded to the rows that JSON exports give; a record that cannot be decoded is an
 error row, never a lost file.
@@ -34,6 +35,10 @@ DECODED = ("AC1015", "AC1018")
 OBJECTS_SECTION, MAP_SECTION, CLASSES_SECTION = "AcDb:AcDbObjects", "AcDb:Handles", "AcDb:Classes"
 CLASSES_MARK = bytes.fromhex("8da1c4b8c4a9f8c5c0dcf45fe7cfb68a")
 ROWS_PER_BATCH = 5_000
+#: Records and bytes of a run, at most; a larger record has a run of its own.
+RUN_RECORDS, RUN_BYTES = 5_000, 1 << 20
+#: Records cut out of a file: ``body`` holds those to decode, ``ends`` where each ends in it; the others have a reason.
+RUNS = "doc_id string, version string, page string, seqs array<int>, handles array<bigint>, names array<string>, reasons array<string>, ends array<int>, body binary"
 #: Rows of every kind of record; ``kind`` is entity, object or error.
 DECODED_ROWS = f"""doc_id string, seq int, kind string, type_name string, handle bigint, space string, owner bigint, layer bigint,
  color_index int, true_color bigint, points array<{P2}>, radius double, a0 double, a1 double, bulges array<double>, closed boolean,
@@ -55,7 +60,7 @@ def drawings(files: DataFrame) -> DataFrame:
 
 def sections(data: bytes) -> dict[int, tuple[int, int]]:
     """Number to (offset, size) of the plain container."""
-    if data[:6].decode("latin-1") not in PLAIN:
+    if str(data[:6], "latin-1") not in PLAIN:
         return {}
     r = BitReader(data, 8 * DIRECTORY_AT)
     return {r.u8(): (r.u32(), r.u32()) for _ in range(r.u32())}
@@ -74,11 +79,11 @@ def map_chunks(data: bytes, at: int, size: int) -> Iterator[bytes]:
 
 def stores(data: bytes) -> tuple[bytes, bytes]:
     """(object map, bytes that its offsets point into); empty for files without them. A damaged paged file raises."""
-    if data[:6].decode("latin-1") in paged.PAGED:
-        parts = paged.sections(data)
+    if str(data[:6], "latin-1") in paged.PAGED:
+        parts = paged.sections(bytes(data))
         return parts.get(MAP_SECTION, b""), parts.get(OBJECTS_SECTION, b"")
     at, size = sections(data).get(2, (0, 0))
-    return data[at : at + size], data
+    return bytes(data[at : at + size]), data
 
 
 def class_names(data: bytes) -> dict[int, str]:
@@ -86,9 +91,9 @@ def class_names(data: bytes) -> dict[int, str]:
 
     An entry cut off by the section's end ends the list. A section without its mark raises.
     """
-    is_paged = data[:6].decode("latin-1") in paged.PAGED
+    is_paged = str(data[:6], "latin-1") in paged.PAGED
     at, size = sections(data).get(1, (0, 0))
-    content = paged.sections(data).get(CLASSES_SECTION, b"") if is_paged else data[at : at + size]
+    content = paged.sections(bytes(data)).get(CLASSES_SECTION, b"") if is_paged else bytes(data[at : at + size])
     if not content:
         return {}
     if not content.startswith(CLASSES_MARK):
@@ -120,7 +125,7 @@ def classes(files: DataFrame) -> DataFrame:
             for doc, data in zip(b.column(0).to_pylist(), b.column(1)):
                 content = data.as_py() or b""
                 try:
-                    names = class_names(content) if content[:6].decode("latin-1") in DECODED else {}
+                    names = class_names(content) if str(content[:6], "latin-1") in DECODED else {}
                 except ValueError:
                     names = {}
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(names), pa.string()), pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())], names=["doc_id", "type_code", "name"])
@@ -200,61 +205,104 @@ def row(f: dict[str, Any]) -> dict[str, Any]:
     }
 
 
-def rows(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[dict[str, Any]]:
-    """A row for each record of the types asked for (default: all), and an error row for each that is not decoded."""
+def runs(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[dict[str, Any]]:
+    """The records of a file as rows of ``RUNS`` (without doc_id): those of the types asked for (default: all), and with a
+    reason each one that cannot be cut out or has no decoder; for a file that cannot be read, the reason without a place."""
+    version = str(data[:6], "latin-1")
+    page = codec(int.from_bytes(data[0x13:0x15], "little"))
 
-    def error(reason: str, handle: int | None = None, name: str | None = None) -> dict[str, Any]:
-        return {"kind": "error", "reason": reason, "handle": handle, "type_name": name}
+    def run() -> dict[str, Any]:
+        return {"version": version, "page": page, "seqs": [], "handles": [], "names": [], "reasons": [], "ends": [], "body": bytearray()}
 
-    version = data[:6].decode("latin-1")
+    def add(r: dict[str, Any], seq: int | None, handle: int | None, name: str | None, reason: str | None, record: bytes = b"") -> None:
+        r["body"] += record
+        for k, v in (("seqs", seq), ("handles", handle), ("names", name), ("reasons", reason), ("ends", len(r["body"]))):
+            r[k].append(v)
+
+    out = run()
     if version not in DECODED:
-        yield error("no decoder for this release")
+        add(out, None, None, None, "no decoder for this release")
+        yield out
         return
     try:
         chunks, body = stores(data)
     except ValueError:
-        yield error("damaged container")
+        add(out, None, None, None, "damaged container")
+        yield out
         return
     try:
         own = class_names(data)
     except ValueError:
         own = {}
-    page = codec(int.from_bytes(data[0x13:0x15], "little"))
     for seq, (handle, offset) in enumerate(places(chunks)):
         name = None
         try:
-            code = frame(body, offset)[1]
+            r = BitReader(body, 8 * offset)
+            size, code = r.modular_short(), frame(body, offset)[1]
             name = records.NAMES.get(code)
             if name is None:
-                yield error(f"no decoder for type {code}", handle, own.get(code)) | {"seq": seq}
+                add(out, seq, handle, own.get(code), f"no decoder for type {code}")
             elif kinds is None or name in kinds:
-                yield row(records.read(body, offset, page, version)) | {"seq": seq}
+                add(out, seq, handle, name, None, body[offset : (r.at >> 3) + size])
         except ValueError:
-            yield error("damaged record", handle, name) | {"seq": seq}
+            add(out, seq, handle, name, "damaged record")
+        if len(out["seqs"]) >= RUN_RECORDS or len(out["body"]) >= RUN_BYTES:
+            yield out
+            out = run()
+    if out["seqs"]:
+        yield out
+
+
+def run_rows(run: dict[str, Any]) -> Iterator[dict[str, Any]]:
+    """A row for each record of a run, and an error row for each that is not decoded."""
+    at = 0
+    for seq, handle, name, reason, end in zip(*(run[k] for k in ("seqs", "handles", "names", "reasons", "ends"))):
+        if reason is None:
+            try:
+                yield row(records.read(bytes(run["body"][at:end]), 0, run["page"], run["version"])) | {"seq": seq}
+            except ValueError:
+                reason = "damaged record"
+        if reason is not None:
+            yield {"kind": "error", "reason": reason, "handle": handle, "type_name": name} | ({} if seq is None else {"seq": seq})
+        at = end
+
+
+def rows(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[dict[str, Any]]:
+    """A row for each record of the types asked for (default: all), and an error row for each that is not decoded."""
+    for run in runs(data, kinds):
+        yield from run_rows(run)
 
 
 def decoded(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Rows of ``DECODED_ROWS`` for the records of each file (doc_id, content); null content has none."""
-    schema = to_arrow_schema(StructType.fromDDL(DECODED_ROWS))
+    schema, run_schema = (to_arrow_schema(StructType.fromDDL(d)) for d in (DECODED_ROWS, RUNS))
     wanted = None if kinds is None else frozenset(kinds)
 
-    def run(batches):
+    def cut_out(batches):
         for b in batches:
             for doc, data in zip(b.column(0).to_pylist(), b.column(1)):
-                found = ({"doc_id": doc} | r for r in rows(data.as_py() or b"", wanted)) if data.is_valid else ()
-                for part in batched(found, ROWS_PER_BATCH):
+                for run in runs(memoryview(data.as_buffer()), wanted) if data.is_valid else ():  # not copied
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc} | run | {"body": bytes(run["body"])}], run_schema)
+
+    def decode(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                run = b.slice(i, 1).to_pylist()[0]
+                for part in batched(({"doc_id": run["doc_id"]} | r for r in run_rows(run)), ROWS_PER_BATCH):
                     yield pa.RecordBatch.from_pylist(list(part), schema)
 
-    return files.select("doc_id", "content").mapInArrow(run, DECODED_ROWS)
+    dealt = files.select("doc_id", "content").mapInArrow(cut_out, RUNS).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(decode, DECODED_ROWS)
 
 
 def entities(files: DataFrame) -> DataFrame:
     """Entity rows as JSON exports give them: vertices joined to their polylines, block ends and markers left out."""
-    e = decoded(files, tuple(k for k in records.TYPE_CODES if k not in records.OBJECTS)).where("kind = 'entity'")
-    e = e.drop("kind", "name", "keys", "items", "reason")
-    v = e.where("type_name IN ('VERTEX_2D', 'VERTEX_3D', 'VERTEX_MESH', 'VERTEX_PFACE')")
+    vertices = ("VERTEX_2D", "VERTEX_3D", "VERTEX_MESH", "VERTEX_PFACE")
+    left_out = (*records.OBJECTS, *vertices, "BLOCK", "ENDBLK")
+    e = decoded(files, tuple(k for k in records.TYPE_CODES if k not in left_out)).where("kind = 'entity'")
+    v = decoded(files, vertices).where("kind = 'entity'")
     v = v.select("doc_id", "owner", "seq", F.get("points", 0).alias("p"), F.coalesce(F.get("bulges", 0), F.lit(0.0)).alias("b"))
-    return with_vertices(e.where("type_name NOT IN ('BLOCK', 'ENDBLK')"), v)
+    return with_vertices(e.drop("kind", "name", "keys", "items", "reason"), v)
 
 
 def layers(files: DataFrame) -> DataFrame:
@@ -281,28 +329,44 @@ def skipped(files: DataFrame) -> DataFrame:
     return decode_errors(files).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
 
 
+def framed(kind: int, payload: bytes) -> bytes:
+    """A record with its size and checksum."""
+    w, n = BitWriter(), BitWriter()
+    w.short(kind)
+    w.raw(payload)
+    data = w.done()
+    n.modular_short(len(data))
+    return n.done() + data + crc16(data).to_bytes(2, "little")
+
+
+def first_offset(version: str) -> int:
+    """Where the object map puts the first record: after the directory of two, or at the start of its section."""
+    return 0 if version in paged.PAGED else DIRECTORY_AT + 4 + 9 * 2
+
+
+def container(bodies: list[Any], maps: list[Any], version: str = "AC1015", codepage: int = 30, own: dict[int, str] | None = None) -> bytes:
+    """A file of framed records and parts of their object map, each a list of bytes in order, and the names of classes;
+    plain or paged by the version."""
+    is_paged = version in paged.PAGED
+    maps, named = [*maps, b"\0\2"], _class_bytes(own or {}, is_paged)
+    if is_paged:
+        return paged.write({OBJECTS_SECTION: b"".join(bodies), MAP_SECTION: b"".join(maps), CLASSES_SECTION: named}, version, codepage)
+    head = bytearray(version.encode().ljust(DIRECTORY_AT, b"\0"))
+    head[0x13:0x15] = codepage.to_bytes(2, "little")
+    at = first_offset(version) + sum(map(len, bodies))
+    listed = b"".join(bytes([n]) + at.to_bytes(4, "little") + size.to_bytes(4, "little") for n, at, size in ((1, at, len(named)), (2, at + len(named), sum(map(len, maps)))))
+    return b"".join([head, (2).to_bytes(4, "little"), listed, *bodies, named, *maps])
+
+
 def write(contents: list[tuple[int, int, bytes]], version: str = "AC1015", codepage: int = 30, own: dict[int, str] | None = None) -> bytes:
     """A container with records (handle, type code, payload), their object map and the names of classes, plain or paged
     by the version."""
-    head = bytearray(version.encode().ljust(DIRECTORY_AT, b"\0"))
-    head[0x13:0x15] = codepage.to_bytes(2, "little")
-    directory = 4 + 9 * 2
-    body, starts = bytearray(), []
-    start = 0 if version in paged.PAGED else DIRECTORY_AT + directory
+    bodies, starts, at = [], [], first_offset(version)
     for handle, kind, payload in sorted(contents):
-        w = BitWriter()
-        w.short(kind)
-        w.raw(payload)
-        data = w.done()
-        n = BitWriter()
-        n.modular_short(len(data))
-        starts.append((handle, start + len(body)))
-        body += n.done() + data + crc16(data).to_bytes(2, "little")
-    framed, named = _map_bytes(starts), _class_bytes(own or {}, version in paged.PAGED)
-    if version in paged.PAGED:
-        return paged.write({OBJECTS_SECTION: bytes(body), MAP_SECTION: framed, CLASSES_SECTION: named}, version, codepage)
-    listed = b"".join(bytes([n]) + at.to_bytes(4, "little") + len(part).to_bytes(4, "little") for n, at, part in ((1, start + len(body), named), (2, start + len(body) + len(named), framed)))
-    return bytes(head) + (2).to_bytes(4, "little") + listed + bytes(body) + named + framed
+        bodies.append(framed(kind, payload))
+        starts.append((handle, at))
+        at += len(bodies[-1])
+    return container(bodies, [map_part(starts)], version, codepage, own)
 
 
 def _class_bytes(own: dict[int, str], is_paged: bool) -> bytes:
@@ -327,8 +391,8 @@ def _class_bytes(own: dict[int, str], is_paged: bool) -> bytes:
     return CLASSES_MARK + len(content).to_bytes(4, "little") + content
 
 
-def _map_bytes(starts: list[tuple[int, int]]) -> bytes:
-    """Chunks of an object map, each with sums of its own and of fewer than 2,000 bytes; and the empty one."""
+def map_part(starts: list[tuple[int, int]]) -> bytes:
+    """Chunks of an object map, each with sums of its own and of fewer than 2,000 bytes; the empty one ends a map."""
     out, at = bytearray(), 0
     while at < len(starts):
         m, last = BitWriter(), (0, 0)
@@ -338,6 +402,6 @@ def _map_bytes(starts: list[tuple[int, int]]) -> bytes:
             m.modular(offset - last[1], signed=True)
             last, at = (handle, offset), at + 1
         chunk = m.done()
-        framed = (len(chunk) + 2).to_bytes(2, "big") + chunk
-        out += framed + crc16(framed).to_bytes(2, "big")
-    return bytes(out) + b"\0\2"
+        sized = (len(chunk) + 2).to_bytes(2, "big") + chunk
+        out += sized + crc16(sized).to_bytes(2, "big")
+    return bytes(out)

@@ -8,8 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from draftlake.operators import tessellate
+from draftlake.schema import ENTITIES
 from draftlake.sinks import dwg as dwg_sink
 from draftlake.sources import dwg, json_drawings, paged
 from draftlake.sources import dwg_records as records
@@ -172,3 +174,41 @@ def test_rows_that_cannot_be_written(spark, drawing):
     r = dwg_sink.write(odd, json_drawings.layers(drawing), json_drawings.blocks(drawing)).first()
     files = spark.createDataFrame([r], "doc_id string, content binary, left_out long")
     assert r["left_out"] == 1 and [x["handle"] for x in dwg.entities(files).collect()] == [2]
+
+
+def _long(spark, n):
+    """A drawing of old-style polylines, inserts with attributes and circles, its handles over several pieces."""
+    e = spark.range(1, n + 1).selectExpr(
+        "'d' AS doc_id", "id * 9 AS handle", "element_at(array('POLYLINE_2D', 'INSERT', 'ATTRIB', 'CIRCLE'), CAST(id % 4 + 1 AS INT)) AS type_name", "'model' AS space",
+        "CASE WHEN id % 4 = 2 THEN (id - 1) * 9 ELSE 0L END AS owner", "1L AS layer", "transform(sequence(1, CASE WHEN id % 4 = 0 THEN 3 ELSE 1 END), k -> struct(CAST(id AS DOUBLE) AS x, CAST(k AS DOUBLE) AS y)) AS points",
+        "2.5D AS radius", "CASE WHEN id % 4 = 2 THEN 'v' END AS text", "CASE WHEN id % 4 = 1 THEN 5L END AS block", "1D AS sx", "1D AS sy",
+    )
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(ENTITIES)}
+    e = e.withColumns({c: F.lit(None).cast(kinds.get(c, "int")) for c in dwg_sink.ROW if c not in e.columns and c not in tessellate.OPTIONAL})
+    layers = spark.createDataFrame([("d", 10**9, "L", 3)], "doc_id string, layer_handle bigint, name string, aci int")
+    return e, layers, spark.createDataFrame([], "doc_id string, block_handle bigint, name string")
+
+
+@pytest.mark.parametrize("version", dwg.DECODED)
+def test_writer_in_pieces(spark, version):
+    """No task of the writer holds more than a piece; what the pieces hold reads back whole, with handles of its own each."""
+    e, layers, blocks = _long(spark, 8_000)
+    pieces = dwg_sink.pieces(e, layers, blocks, version=version).where("later = 0").select(F.size("handles").alias("n")).collect() if version == "AC1015" else [(2,)] * 2
+    assert len(pieces) > 1 and max(r[0] for r in pieces) < 8_000
+    content, left = dwg_sink.write(e, layers, blocks, version=version).first()[1:]
+    rows = list(dwg.rows(content))
+    assert left == 0 and len({r["handle"] for r in rows}) == len(rows) == 8_001 + 2_000 * 4 + 2_000
+    assert all(r["kind"] != "error" for r in rows) and [r["handle"] for r in rows] == sorted(r["handle"] for r in rows)
+    assert {r["handle"]: r["points"][0]["x"] for r in rows if r["type_name"] == "CIRCLE"} == {9 * k: float(k) for k in range(3, 8_001, 4)}
+    assert {r["owner"] for r in rows if r["type_name"] == "SEQEND"} == {9 * k for k in range(1, 8_001) if k % 4 < 2}
+
+
+def test_runs_of_a_file(spark):
+    """A file's records are decoded in runs of bounded size, dealt over the tasks."""
+    rows = [(3 * k, records.TYPE_CODES["ENDBLK"], records.write({"type_name": "ENDBLK", "handle": 3 * k})) for k in range(1, 12_001)]
+    content = dwg.write([*rows, (40_000, 500, b"abc")])
+    assert [len(r["seqs"]) for r in dwg.runs(content)] == [dwg.RUN_RECORDS] * 2 + [2_001]
+    files = spark.createDataFrame([("d", content)], "doc_id string, content binary")
+    got = dwg.decoded(files).select("handle", "seq", "kind", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r["seq"], r["handle"]) for r in got) == [*enumerate(h for h, _, _ in rows), (12_000, 40_000)]
+    assert len({r["p"] for r in got}) > 1 and [r["seq"] for r in got if r["kind"] == "error"] == [12_000]
