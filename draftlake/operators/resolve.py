@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.color import effective
 
+#: Rows of one handle that one task joins, about.
+SHARE = 50_000
+
 
 def with_layer(entities: DataFrame, layers: DataFrame, white_background: bool = True) -> DataFrame:
     """entities with layer_name ('' if unknown) and rgb."""
@@ -17,9 +20,18 @@ def with_layer(entities: DataFrame, layers: DataFrame, white_background: bool =
 
 
 def attributes(inserts: DataFrame, attribs: DataFrame) -> DataFrame:
-    """(doc_id, handle, pos, attrib fields): each insert's attributes in order; dangling handles are left out."""
+    """(doc_id, handle, pos, attrib fields): each insert's attributes in order; dangling handles are left out.
+
+    A handle listed more than ``SHARE`` times, dangling or not, is dealt over shares of about that size; such handles are
+    few (one in ``SHARE`` of the listed at most), so they are broadcast.
+    """
     listed = inserts.select("doc_id", F.col("handle").alias("insert_handle"), F.posexplode("attribs").alias("pos", "handle"))
-    return listed.join(attribs, ["doc_id", "handle"])
+    often = listed.groupBy("doc_id", "handle").count().where(F.col("count") > SHARE).select("doc_id", "handle", F.ceil(F.col("count") / SHARE).alias("__shares"))
+    often = F.broadcast(often)
+    share = F.coalesce(F.pmod(F.xxhash64("insert_handle", "pos"), F.col("__shares")), F.lit(0))
+    dealt = listed.join(often, ["doc_id", "handle"], "left").withColumn("__share", share).drop("__shares")
+    copies = attribs.join(often, ["doc_id", "handle"], "left").withColumn("__share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
+    return dealt.join(copies, ["doc_id", "handle", "__share"]).drop("__share")
 
 
 def attributes_by_owner(attribs: DataFrame) -> DataFrame:
