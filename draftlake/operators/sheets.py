@@ -223,9 +223,9 @@ def residual_sheets(points: DataFrame, frames: DataFrame, texts: DataFrame | Non
     """
     left = cut(residual(points, frames).select("doc_id", "x", "y", "is_text"))
     count = left.groupBy("doc_id").agg(F.count("*").alias("__n"))
-    edge = bounds.quantiles(left, CLIP, 1 - CLIP).join(count, "doc_id")
+    edge = cut(bounds.quantiles(left, CLIP, 1 - CLIP).join(count, "doc_id"))
     inside = (F.col("__n") < 4) | (F.col("x").between(F.col("low_x"), F.col("high_x")) & F.col("y").between(F.col("low_y"), F.col("high_y")))
-    clipped = left.join(edge, "doc_id").where(inside).select(left.columns)
+    clipped = bounds.beside(left, edge, ["doc_id"]).where(inside).select(left.columns)
     pts, coarse = _clusters(clipped, ["doc_id"], COARSE)
     _, fine = _clusters(pts.withColumnRenamed("component", "part"), ["doc_id", "part"], FINE, CELL)
     split = fine.groupBy("doc_id", "part").count().where(F.col("count") > 1).select("doc_id", "part")
@@ -253,10 +253,10 @@ def residual_titles(boxes: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, sheet_index, title): of the readable texts of at least nine tenths of the greatest height the one closest
     to the vertical middle line."""
     hit = _hits(texts.where(is_readable(F.col("text"))).select("doc_id", "handle", "x", "y", "text", "height"), boxes)
-    of = Window.partitionBy("doc_id", "sheet_index")
-    tall = hit.withColumn("__top", F.max("height").over(of)).where(F.col("height") >= 0.9 * F.col("__top"))
+    of = ["doc_id", "sheet_index"]
+    tall = bounds.beside(hit, hit.groupBy(*of).agg(F.max("height").alias("__top")), of).where(F.col("height") >= 0.9 * F.col("__top"))
     far = F.abs(F.col("x") - (F.col("min_x") + F.col("max_x")) / 2)
-    return tall.withColumn("__k", F.row_number().over(of.orderBy(far, "handle"))).where("__k = 1").select("doc_id", "sheet_index", F.trim("text").alias("title"))
+    return tall.groupBy(*of).agg(F.trim(F.min_by("text", F.struct(far.alias("far"), "handle"))).alias("title"))
 
 
 def planned_widths(texts: DataFrame, boxes: DataFrame, widths: DataFrame) -> DataFrame:

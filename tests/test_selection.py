@@ -40,3 +40,14 @@ def test_no_drawing_is_sorted_or_gathered(spark):
     for df in (bounds.median(points), bounds.quantiles(points), bounds.robust(points)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile(" not in plan and "row_number()" not in plan
+
+
+def test_titles_without_sorting_a_sheet(spark):
+    """The title is the tall text closest to the middle line, the smallest handle on ties; a sheet's texts are not sorted."""
+    from draftlake.operators import sheets
+
+    boxes = spark.createDataFrame([("d", 1, 0.0, 0.0, 10.0, 10.0)], "doc_id string, sheet_index int, min_x double, min_y double, max_x double, max_y double")
+    texts = [("d", 3, 4.0, 1.0, "third", 2.0), ("d", 2, 6.0, 1.0, " second ", 1.9), ("d", 1, 5.0, 1.0, "small", 1.0), ("d", 4, 9.0, 1.0, "far", 2.0)]
+    got = sheets.residual_titles(boxes, spark.createDataFrame(texts, "doc_id string, handle bigint, x double, y double, text string, height double"))
+    assert [tuple(r) for r in got.collect()] == [("d", 1, "second")]
+    assert "row_number()" not in got._jdf.queryExecution().optimizedPlan().toString()
